@@ -1,0 +1,61 @@
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlog import model
+from ledgerlog.functions import render
+from ledgerlog.model import OutputFormat
+from ledgerlog.sources.lines import tagged, trim_bytes, trim_line_ends
+
+AT = 1_769_688_000_000_000_000
+STAMP = "2026-01-29 12:00:00 UTC"
+GOLDEN = [
+    (OutputFormat.JSON, b"hello world", f'{{"timestamp":"{STAMP}","data":"hello world"}}'),
+    (OutputFormat.JSON, b'line\nwith\ttabs"quotes\\', f'{{"timestamp":"{STAMP}","data":"line\\nwith\\ttabs\\"quotes\\\\"}}'),
+    (OutputFormat.JSON, bytes.fromhex("00FF80"), f'{{"timestamp":"{STAMP}","data":"\\u0000\\u00ff\\u0080"}}'),
+    (OutputFormat.JSON, bytes.fromhex("011F7F"), f'{{"timestamp":"{STAMP}","data":"\\u0001\\u001f\\u007f"}}'),
+    (OutputFormat.JSON, "café".encode(), f'{{"timestamp":"{STAMP}","data":"caf\\u00c3\\u00a9"}}'),
+    (OutputFormat.JSON, b"", f'{{"timestamp":"{STAMP}","data":""}}'),
+    (OutputFormat.CSV, b"simple data", f'"{STAMP}","simple data"'),
+    (OutputFormat.CSV, b'has "quotes" inside', f'"{STAMP}","has ""quotes"" inside"'),
+    (OutputFormat.CSV, bytes.fromhex("DEADBEEF"), f'"{STAMP}","[hex:deadbeef]"'),
+    (OutputFormat.TEXT, b"log message", f"{STAMP} log message"),
+    (OutputFormat.TEXT, b"two\nlines", f"{STAMP} two\nlines"),
+    (OutputFormat.HEX, bytes.fromhex("CAFE"), "188f31dc1b458000 cafe"),
+    *((OutputFormat.TEXT, bytes.fromhex(h), f"{STAMP} {s}") for h, s in (("FFFE61", "��a"), ("F09F98", "�"), ("E282", "�"), ("C08078", "��x"), ("EDA080", "���"))),
+]
+
+
+def test_goldens(spark, log_of):
+    log = log_of([(AT, d) for _, d, _ in GOLDEN])
+    rows = log.select(*(render.line(k).alias(k.value) for k in OutputFormat)).collect()
+    assert [r[k.value] for r, (k, _, _) in zip(rows, GOLDEN)] == [e for _, _, e in GOLDEN]
+
+
+def escaped(data: bytes) -> str:
+    named = {0x22: '\\"', 0x5C: "\\\\", 0x0A: "\\n", 0x0D: "\\r", 0x09: "\\t"}
+    return "".join(named.get(b) or (chr(b) if 0x20 <= b < 0x7F else f"\\u00{b:02x}") for b in data)
+
+
+def test_escapes_at_every_place(spark, log_of):
+    cases = [bytes([97] * n)[:i] + bytes([b]) + bytes([97] * (n - i - 1)) for n, i, b in itertools.product((3, 6, 7, 8, 16, 17), (0, 2, 3, 4, 5, 8, 11, 16), (0x7E, 0x7F, 0x80, 0x01, 0x22, 0x5C)) if i < n]
+    cases += [bytes(range(256)), bytes(range(256)) * 9, b"\\\\n", b'\\"', b"\r\n\t"]
+    got = log_of(list(enumerate(cases))).orderBy("timestamp_ns").select(render.json_text().alias("t")).collect()
+    assert [r.t for r in got] == [escaped(c) for c in cases]
+
+
+def test_timestamps_are_truncated_and_in_utc(spark, log_of):
+    log = log_of([(AT + 999_999_999, b""), (0, b""), (1_773_556_200_000_000_000, b"")])  # the last lies in a gap of summer time
+    assert [r.t for r in log.select(render.timestamp_text().alias("t")).collect()] == [STAMP, "1970-01-01 00:00:00 UTC", "2026-03-15 06:30:00 UTC"]
+
+
+@pytest.mark.parametrize(("raw", "trimmed"), [(b"hello\n", b"hello"), (b"hello\r\n", b"hello"), (b"hello\r", b"hello"), (b"hello", b"hello"), (b"\n\n", b""), (b"", b""), (b"a\nb\n", b"a\nb"), (b" x \r\r\n", b" x ")])
+def test_trimming(spark, log_of, raw, trimmed):
+    row = log_of([(1, raw)]).select(trim_line_ends("data").alias("t"), tagged("stdin", "data").alias("d")).first()
+    assert row.t.encode() == trimmed == trim_bytes(raw) and bytes(row.d) == b"[stdin] " + trimmed
+
+
+def test_names_and_sizes(spark, log_of):
+    row = log_of([(1000, b"abc")]).select(model.sorted_run_name("timestamp_ns", F.lit(100000)).alias("run"), model.segment_name("timestamp_ns").alias("segment"), model.entry_size().alias("size"), model.fits("data", 2).alias("fits")).first()
+    assert tuple(row) == ("00000000000003e8_00000000000186a0.sst", "00000000000003e8.wal", 11, False)
