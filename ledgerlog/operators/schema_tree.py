@@ -97,7 +97,7 @@ def value_distance(a: Node, b: Node) -> float:
     if a.kind != b.kind:
         return 1.0
     if not a.profile or not b.profile:
-        return 0.5
+        return 1.0  # values that nobody looked at tell nothing
     shapes, values, sizes = (_overlap(_part(a.profile, k), _part(b.profile, k)) for k in ("s:", "v:", "m:"))
     ra, rb = _repeats(a.profile), _repeats(b.profile)
     if a.kind in ("integer", "number"):
