@@ -1,0 +1,146 @@
+"""Repetition: against a plain reading of the definition, decoding against enumeration, held-out accuracy."""
+
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+crf = pytest.importorskip("ledgerlog.llm.crf")
+from ledgerlog.llm import repetition as rep  # noqa: E402
+
+VOCABULARY = [a + b for a in "brilt chamo drest flun grap hosk jent kluv mopir nasto".split() for b in "al en or ist um ad".split()]
+HAN = "漢字仮名交通信号機械装置液体圧力温度部材回転軸受"
+
+
+def sentence(rng, n=14):
+    words = [rng.choice(VOCABULARY) for _ in range(n)]
+    return " ".join(words).capitalize() + "."
+
+
+def spaced(rng, sentences):
+    return " ".join(sentence(rng, rng.randrange(8, 18)) for _ in range(sentences))
+
+
+def unspaced(rng, n):
+    return "".join(rng.choice(HAN) for _ in range(n))
+
+
+def brute(text, spaced_words=True):
+    """Share of characters in runs of six words (twelve characters) that stand earlier, word by word."""
+    pattern = r"[^\W\d_]+" if spaced_words else r"[^\W\d_]"
+    found = [(m.start(), m.group().lower()) for m in re.finditer(pattern, text)]
+    size = 6 if spaced_words else 12
+    seen, covered = set(), [False] * len(found)
+    for i in range(len(found) - size + 1):
+        key = tuple(w for _, w in found[i : i + size])
+        if key in seen:
+            covered[i : i + size] = [True] * size
+        seen.add(key)
+    ends = [p for p, _ in found[1:]] + [len(text)]
+    return sum(e - p for (p, _), e, c in zip(found, ends, covered) if c) / max(1, len(text))
+
+
+def exact(texts):
+    codes, starts = rep._codes(texts)
+    return rep.analyse(codes, starts)["exact"]
+
+
+def test_exact_share_is_the_definition():
+    rng = random.Random(1)
+    texts = []
+    for _ in range(60):
+        parts = [sentence(rng) for _ in range(rng.randrange(1, 12))]
+        texts.append(" ".join(parts + [rng.choice(parts).upper() + str(rng.randrange(99)) for _ in range(rng.randrange(6))]))
+    assert np.allclose(exact(texts), [brute(t) for t in texts])
+    for _ in range(30):
+        a = unspaced(rng, 60)
+        texts = [a + unspaced(rng, 30) + a[:20] * rng.randrange(3)]
+        assert np.allclose(exact(texts), [brute(t, False) for t in texts])
+
+
+def test_documents_of_a_block_do_not_mix():
+    rng = random.Random(2)
+    one = spaced(rng, 10)
+    assert exact([one, one, one]).max() == 0 and exact(["", one + " " + one, "", "12 34", one])[1] > 0.45
+
+
+def test_case_spacing_punctuation_and_digits_make_no_difference():
+    rng = random.Random(3)
+    one = sentence(rng, 12)
+    other = re.sub(" ", " -- 7 ", one).upper()
+    assert exact([one + "\n" + other])[0] > 0.5 and exact([one + " " + one.replace("a", "a­")])[0] > 0.4
+
+
+def test_something_short_said_over_and_over():
+    assert exact(["spam " * 100])[0] > 0.9 and exact(["ha ha ha ha"])[0] == 0 and exact(["漢" * 100])[0] > 0.85
+
+
+def test_viterbi_is_the_best_of_all_labellings():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        chain = crf.Chain(rng.normal(size=(3, 2)), rng.normal(size=(2, 2)))
+        lengths = rng.integers(0, 7, 5)
+        x = rng.normal(size=(lengths.sum(), 3))
+        got = crf.viterbi(chain, x, lengths)
+        for a, n in zip(np.cumsum(lengths) - lengths, lengths):
+            score = lambda y: sum(x[a + t] @ chain.emit[:, y[t]] for t in range(n)) + sum(chain.move[y[t], y[t + 1]] for t in range(n - 1))  # noqa: E731, B023
+            if n:
+                assert abs(score(got[a : a + n]) - max(score(y) for y in itertools.product((0, 1), repeat=int(n)))) < 1e-9
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(1)
+    lengths = np.array([4, 3])
+    x, y = rng.normal(size=(7, 2)), rng.integers(0, 2, 7)
+
+    def likelihood(c):
+        total = 0.0
+        for a, n in zip(np.cumsum(lengths) - lengths, lengths):
+            score = lambda z: sum(x[a + t] @ c.emit[:, z[t]] for t in range(n)) + sum(c.move[z[t], z[t + 1]] for t in range(n - 1))  # noqa: E731, B023
+            total += score(y[a : a + n]) - np.log(sum(np.exp(score(z)) for z in itertools.product((0, 1), repeat=int(n))))
+        return total
+
+    fitted = crf.fit(x, y, lengths, steps=400, rate=0.05, ridge=0.05)
+    best = likelihood(fitted) - 7 * 0.05 / 2 * (np.sum(fitted.emit**2) + np.sum(fitted.move**2))
+    for _ in range(20):
+        near = crf.Chain(fitted.emit + rng.normal(scale=0.1, size=(2, 2)), fitted.move + rng.normal(scale=0.1, size=(2, 2)))
+        assert likelihood(near) - 7 * 0.05 / 2 * (np.sum(near.emit**2) + np.sum(near.move**2)) <= best + 1e-3
+
+
+def held_out(rng, repeated, script):
+    parts = [sentence(rng) if script else unspaced(rng, 40) + "。" for _ in range(20)]
+    if repeated:
+        copied = [rng.choice(parts[:6]) for _ in range(30)]
+        parts[6:6] = copied
+    return (" " if script else "").join(parts)
+
+
+def test_held_out_accuracy():
+    rng = random.Random(5)
+    chain = rep.train([spaced(rng, 25) for _ in range(60)])
+    cases = [(held_out(rng, r, s), r) for r in (True, False) for s in (True, False) for _ in range(40)]
+    codes, starts = rep._codes([t for t, _ in cases])
+    decoded, measured = rep.decode(chain, codes, starts)
+    assert ((decoded > rep.LIMIT) == [r for _, r in cases]).mean() == 1.0 and ((measured > rep.LIMIT) == [r for _, r in cases]).all()
+
+
+def test_operator_on_odd_rows(spark):
+    rng = random.Random(6)
+    fine, spam = spaced(rng, 30), spaced(rng, 8) + " " + "Buy the cheap brown boxes here today. " * 40
+    rows = [(i, spaced(rng, 20)) for i in range(30)] + [(100, None), (101, ""), (102, "12 34 --"), (103, fine), (104, spam), (104, spam), (None, spam), (105, spaced(rng, 3000)), (106, (spaced(rng, 4) + "\n") * 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("exact_share", F.lit("clash")).withColumn("id", F.lit(1)).repartition(3)
+    shares = {r.doc_id: r for r in rep.repetition(df).collect()}
+    assert all(shares[i].exact_share == 0 == shares[i].decoded_share for i in (100, 101, 102)) and shares[106].exact_share > 0.99
+    found = sorted(str(r.doc_id) for r in rep.repetitive(df).collect())
+    assert found == ["104", "104", "106", "None"]
+    assert rep.repetitive(df.where("false")).count() == 0 and rep.repetition(df.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema))).count() == df.count()
+
+
+def test_training_is_bounded(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(i, spaced(rng, 8)) for i in range(40)], "doc_id long, text string")
+    a, b = rep.fit(df, bound=10), rep.fit(df.repartition(5), bound=10)
+    assert np.allclose(a.emit, b.emit)
