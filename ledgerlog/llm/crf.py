@@ -23,9 +23,9 @@ def _padded(features: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.n
     return out, mask
 
 
-def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis, keepdims=True)
-    return (np.log(np.exp(a - top).sum(axis, keepdims=True)) + top).squeeze(axis)
+def _step(score: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Of each row, for each next label, the log of the sum over the two labels before it."""
+    return np.logaddexp(score[:, :1] + move[0], score[:, 1:] + move[1])
 
 
 def fit(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Chain:
@@ -47,12 +47,12 @@ def fit(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, steps: in
         ahead, behind = np.zeros((n, longest, 2)), np.zeros((n, longest, 2))
         ahead[:, 0] = score[:, 0]
         for t in range(1, longest):
-            new = _logsum(ahead[:, t - 1, :, None] + move, 1) + score[:, t]
+            new = _step(ahead[:, t - 1], move) + score[:, t]
             ahead[:, t] = np.where(mask[:, t, None], new, ahead[:, t - 1])
         for t in range(longest - 2, -1, -1):
-            new = _logsum(move + (score[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
+            new = _step(score[:, t + 1] + behind[:, t + 1], move.T)
             behind[:, t] = np.where(mask[:, t + 1, None], new, 0.0)
-        z = _logsum(ahead[:, -1], 1)
+        z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
         one = np.exp(ahead + behind - z[:, None, None]) * mask[..., None]
         two = np.exp(ahead[:, :-1, :, None] + move + (score + behind)[:, 1:, None, :] - z[:, None, None, None]) * both[..., None, None]
         grad = np.concatenate([(seen_emit - np.einsum("ntf,ntk->fk", x, one)).ravel(), (seen_move - two.sum((0, 1))).ravel()]) / total - ridge * theta

@@ -27,6 +27,8 @@ PASSAGE = 12
 UNIT_WORDS = 32
 #: Bound of the sample on which the field is fitted.
 TRAINING_DOCUMENTS = 300
+#: Units of a training sequence; decoding takes sequences whole.
+TRAINING_UNITS = 64
 #: A text is repetitive if more than this share of its characters lies in passages that occurred before.
 LIMIT = 0.4
 #: Decoded share from which the exact share is looked at: units are labelled as a whole, so the decoded share is coarser.
@@ -196,7 +198,12 @@ def train(texts: list[str], seed: int = 5) -> crf.Chain:
     codes, doc_starts = _codes(made)
     a = analyse(codes, doc_starts)
     labels = np.concatenate(truth)[a["unit_pos"]].astype(int)
-    return crf.fit(features(a), labels, np.bincount(a["unit_doc"], minlength=len(made)))
+    return crf.fit(features(a), labels, _parts(np.bincount(a["unit_doc"], minlength=len(made))))
+
+
+def _parts(lengths: np.ndarray) -> np.ndarray:
+    """Sequences in parts of at most TRAINING_UNITS: fitting takes steps as long as the longest."""
+    return np.array([min(TRAINING_UNITS, n - a) for n in lengths for a in range(0, n, TRAINING_UNITS)], np.int64)
 
 
 def decode(chain: crf.Chain, codes: np.ndarray, doc_starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
