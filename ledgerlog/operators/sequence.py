@@ -49,25 +49,105 @@ def monotonic(df: DataFrame, clock: str, order: Sequence[str], out: str = "times
     return joined.select(*df.columns, value.alias(out))
 
 
+def _chain(total: np.ndarray, held: int, threshold: int) -> np.ndarray:
+    """The places, in running sizes, of the entries that reach the threshold, when ``held`` bytes come before."""
+    cuts, base = [], -held
+    while (end := int(np.searchsorted(total, base + threshold))) < len(total):
+        cuts.append(end)
+        base = int(total[end])
+    return np.array(cuts, np.int64)
+
+
+def _exits(total: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a range does with any number of bytes held before it, as a step function.
+
+    (steps, held after, flushes): with h bytes held before, the first step that is at least threshold - h applies; if
+    there is none, nothing is flushed.  Only entries within the first threshold bytes can be the first to flush, and
+    chains that meet go on as one.
+    """
+    last = min(len(total), int(np.searchsorted(total, threshold)) + 1)
+    at, flushes = np.arange(last), np.ones(last, np.int64)
+    going = np.arange(last)
+    while len(going):
+        distinct, which = np.unique(at[going], return_inverse=True)
+        ahead = np.searchsorted(total, total[distinct] + threshold)[which]
+        on = ahead < len(total)
+        going, ahead = going[on], ahead[on]
+        at[going] = ahead
+        flushes[going] += 1
+    return total[:last], total[-1] - total[at] if len(total) else at, flushes
+
+
 def flush_segments(log: DataFrame, threshold: int, stream: Sequence[str] = ()) -> DataFrame:
     """``log`` with segment BIGINT: the number, from 0, of the memtable that holds the entry.
 
     Sizes (8 + length of data) add up until they reach ``threshold``; the entry that reaches it belongs to the
-    segment, and the sum starts anew.  The sum is sequential within a writer's ``stream`` (without any: the whole
-    log).  A stream passes through one task in order, batch by batch, so memory is bounded; only timestamps and sizes
-    pass through Python, and each flush costs one binary search.
+    segment, and the sum starts anew.  Null data counts 0 bytes; equal timestamps keep no particular order.
+
+    Without ``stream`` the log is one writer's.  The rule is sequential, but all that a range of the log needs to
+    know of those before is how many bytes they left in the memtable.  So every range, in parallel, works out for
+    whatever may be left what it would leave in turn; one pass over these small step functions (one row per range)
+    fixes what each range really meets, and the ranges are numbered in parallel.  With ``stream`` every writer has its
+    own memtable and is folded by one task, batch by batch.
     """
-    keys, columns = list(stream), log.columns
-    sized = log.withColumn("_size", F.octet_length("data").cast("bigint") + 8)
+    columns = log.columns
+    sized = log.withColumn("_size", F.coalesce(F.octet_length("data").cast("bigint"), F.lit(0)) + 8)
     schema = T.StructType([*log.schema.fields, T.StructField("segment", T.LongType())])
+    if stream:
+        return _fold_streams(sized, list(stream), threshold, columns, schema)
+    ranged = sized.repartitionByRange("timestamp_ns").sortWithinPartitions("timestamp_ns")
+    ranged = cut_lineage(ranged)  # the ranges are sampled and must stay as they are
+    at_size = len(columns)
+
+    def describe(batches):
+        sizes = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
+        if sizes := [s for s in sizes if len(s)]:
+            total = np.cumsum(np.concatenate(sizes))
+            row = [[TaskContext.get().partitionId()], [int(total[-1])], *([x] for x in _exits(total, threshold))]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3])], names=["part", "bytes", "steps", "left", "flushes"])
+
+    def follow(batches):
+        held, number = 0, 0
+        for batch in batches:
+            out = []
+            for part, size, steps, left, flushes in zip(*(c.to_pylist() for c in batch.columns)):
+                out.append((part, held, number))
+                k = int(np.searchsorted(steps, threshold - held))
+                if size < threshold - held:
+                    held += size
+                else:
+                    held, number = left[k], number + flushes[k]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3, names=["part", "held", "number"])
+
+    functions = ranged.select("_size").mapInArrow(describe, "part bigint, bytes bigint, steps array<bigint>, left array<bigint>, flushes array<bigint>")
+    # one row per range: its place and two numbers
+    met = {r.part: (r.held, r.number) for r in functions.repartition(1).sortWithinPartitions("part").mapInArrow(follow, "part bigint, held bigint, number bigint").collect()}
+
+    def number(batches):
+        held, base, done = *met.get(TaskContext.get().partitionId(), (0, 0)), 0
+        for batch in batches:
+            sizes = batch.column(at_size).to_numpy(zero_copy_only=False)
+            total = np.cumsum(sizes)
+            cuts = _chain(total, held, threshold)
+            segment = base + done + np.searchsorted(cuts, np.arange(len(sizes)), "left")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at_size], pa.array(segment.astype(np.int64))], names=[*columns, "segment"])
+            if len(sizes):
+                held = int(total[-1] - total[cuts[-1]]) if len(cuts) else held + int(total[-1])
+                done += len(cuts)
+
+    return ranged.mapInArrow(number, schema)
+
+
+def _fold_streams(sized: DataFrame, keys: list[str], threshold: int, columns: list[str], schema: T.StructType) -> DataFrame:
+    places = [columns.index(k) for k in keys]
 
     def fold(batches):
         held, number, current = 0, 0, None
         for batch in batches:
-            sizes = batch.column(batch.num_columns - 1).fill_null(8).to_numpy(zero_copy_only=False)
+            sizes = batch.column(len(columns)).to_numpy(zero_copy_only=False)
             n = len(sizes)
-            identity = list(zip(*(batch.column(columns.index(k)).to_pylist() for k in keys))) if keys else [()] * n
-            cuts = [0, *(i for i in range(1, n) if identity[i] != identity[i - 1]), n] if keys else [0, n]
+            identity = list(zip(*(batch.column(i).to_pylist() for i in places)))
+            cuts = [0, *(i for i in range(1, n) if identity[i] != identity[i - 1]), n]
             out = np.zeros(n, np.int64)
             for a, b in zip(cuts, cuts[1:]):
                 if a == b:
@@ -75,16 +155,10 @@ def flush_segments(log: DataFrame, threshold: int, stream: Sequence[str] = ()) -
                 if identity[a] != current:
                     held, number, current = 0, 0, identity[a]
                 total = np.cumsum(sizes[a:b])
-                at, base = 0, -held
-                while at < b - a:
-                    end = int(np.searchsorted(total, base + threshold))
-                    if end >= b - a:
-                        out[a + at : b] = number
-                        break
-                    out[a + at : a + end + 1] = number
-                    number, base, at = number + 1, int(total[end]), end + 1
-                held = int(total[-1]) - base
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], names=[*columns, "segment"])
-
-    placed = sized.repartition(*keys) if keys else sized.repartition(1)
-    return placed.sortWithinPartitions(*keys, "timestamp_ns").mapInArrow(fold, schema)
+                ends = _chain(total, held, threshold)
+                out[a:b] = number + np.searchsorted(ends, np.arange(b - a), "left")
+                number += len(ends)
+                held = int(total[-1] - total[ends[-1]]) if len(ends) else held + int(total[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(out)], names=[*columns, "segment"])
+
+    return sized.repartition(*keys).sortWithinPartitions(*keys, "timestamp_ns").mapInArrow(fold, schema)

@@ -66,20 +66,29 @@ def test_monotonic_is_the_sequential_rule(spark, parts):
     assert sequence.monotonic(df.where("false"), "now", ["n"]).count() == 0
 
 
-def test_flush_boundaries_reset(spark, log_of):
-    rng = random.Random(3)
-    sizes = [rng.randrange(0, 60) for _ in range(500)]
+@pytest.mark.parametrize(("parts", "threshold", "largest"), [(1, 100, 60), (4, 100, 60), (13, 100, 60), (7, 5000, 60), (5, 9, 30), (6, 10**9, 60), (5, 64, 1)])
+def test_flush_boundaries_reset(spark, log_of, parts, threshold, largest):
+    rng = random.Random(parts)
+    sizes = [rng.randrange(0, largest) for _ in range(700)]
     expected, held, number = [], 0, 0
     for s in sizes:
         expected.append(number)
         held += s + 8
-        if held >= 100:
+        if held >= threshold:
             held, number = 0, number + 1
     log = log_of([(i, b"x" * s) for i, s in enumerate(sizes)])
-    assert [r.segment for r in sequence.flush_segments(log, 100).orderBy("timestamp_ns").collect()] == expected
-    two = log.withColumn("w", F.lit("a")).unionByName(log.withColumn("w", F.lit("b")))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = sequence.flush_segments(log.repartition(3), threshold).orderBy("timestamp_ns").collect()
+        two = log.withColumn("w", F.lit("a")).unionByName(log.withColumn("w", F.lit("b")))
+        folded = sequence.flush_segments(two, threshold, ["w"]).orderBy("timestamp_ns").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r.segment for r in got] == expected
     for w in "ab":
-        assert [r.segment for r in sequence.flush_segments(two, 100, ["w"]).where(F.col("w") == w).orderBy("timestamp_ns").collect()] == expected
+        assert [r.segment for r in folded if r.w == w] == expected
+    assert sequence.flush_segments(log.where("false"), threshold).count() == 0
 
 
 def test_reports(spark, log_of):
