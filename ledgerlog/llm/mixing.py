@@ -94,6 +94,16 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: float | None
     return front.select(*columns).unionByName(edge.select(*columns)).where("copies > 0")
 
 
+def corpus(documents: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(``id_col``, copy INT, source, tokens, text): a row for every copy that ``mixed`` takes, copies from 1 on.
+
+    Each id is joined once and multiplied after the join, so repeats don't travel; null ids meet null ids.
+    """
+    texts = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    both = mixed.join(texts, F.col(id_col).eqNullSafe(F.col("_id")))
+    return both.select(id_col, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "source", "tokens", "text")
+
+
 def _kept(counted: DataFrame) -> DataFrame:
     """Token counts are read several times; they go to the shared checkpoint folder (a few bytes a document)."""
     from ..operators.lineage import cut_lineage

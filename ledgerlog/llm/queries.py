@@ -28,6 +28,10 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p7_mix(spark, folder), _table(spark, folder, "mix_targets"))
 
 
+def p7_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.corpus(_table(spark, folder, "documents"), p7_mix(spark, folder))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetitive(_table(spark, folder, "documents"))
 
@@ -37,7 +41,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p7_corpus": p7_corpus, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -85,3 +85,10 @@ def test_odd_inputs(spark):
     assert {s for _, s, _, _ in got} == {"a", "b"} and not {1000, 1001, 1002, 1003} & {d for d, *_ in got} and max(c for *_, c in got) <= 2
     assert mixing.mix(both.where("false"), targets).count() == 0 and mixing.mix(both, targets.where("false")).count() == 0
     assert mixing.shares(mixing.mix(both.where("false"), targets), targets).where("tokens > 0").count() == 0
+
+
+def test_corpus_has_every_copy(spark):
+    docs, targets = corpus(spark, {"a": 40, "b": 5}), spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 4)], TARGETS)
+    mixed = mixing.mix(docs, targets)
+    whole = mixing.corpus(docs, mixed).collect()
+    assert Counter(r.doc_id for r in whole) == {d: c for d, _, _, c in taken(mixed)} and all(r.text.startswith("word ") and r.copy >= 1 for r in whole)
