@@ -31,26 +31,23 @@ POLL_S = 0.1
 class Spool:
     """Entries in files of bounded size and age, each of which appears whole, by rename.
 
-    ``put`` blocks while as many entries as ``capacity`` wait to be written: producers slow down, nothing is dropped.
+    At most ``capacity`` entries wait; while they are written out, ``put`` blocks: producers slow down, nothing is
+    dropped.
     """
 
     def __init__(self, folder: str, *, most_entries: int = 10_000, most_seconds: float = 1.0, capacity: int = 1024):
-        self.folder, self.most_entries, self.most_seconds = Path(folder), most_entries, most_seconds
+        self.folder, self.most_entries, self.most_seconds = Path(folder), min(most_entries, capacity), most_seconds
         self.folder.mkdir(parents=True, exist_ok=True)
-        self._lock, self._room = threading.Lock(), threading.Semaphore(capacity)
+        self._lock = threading.Lock()
         self._waiting: list[bytes] = []
         self._since = time.monotonic()
         self._number = 0
 
     def put(self, tag: str, data: bytes) -> None:
-        self._room.acquire()
-        try:
-            with self._lock:
-                self._waiting.append(base64.b64encode(f"[{tag}] ".encode() + data))
-                if len(self._waiting) >= self.most_entries:
-                    self._roll()
-        finally:
-            self._room.release()
+        with self._lock:
+            self._waiting.append(base64.b64encode(f"[{tag}] ".encode() + data))
+            if len(self._waiting) >= self.most_entries:
+                self._roll()
         self.tick()
 
     def tick(self) -> None:

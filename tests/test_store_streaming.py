@@ -136,6 +136,15 @@ def test_collectors(spark, tmp_path):
     assert by(b"[tcp:127.0.0.1:") == [b"first", b"second"] and by(b"[udp:127.0.0.1:") == [b"two\nlines", b"z" * 8192]
 
 
+def test_spool_holds_no_more_than_its_capacity(spark, tmp_path):
+    spool = collect.Spool(str(tmp_path / "s"), most_seconds=3600, capacity=7)
+    for i in range(20):
+        spool.put("t", b"%d" % i)
+        assert len(spool._waiting) < 7
+    spool.close()
+    assert len(list((tmp_path / "s").glob("*.spool"))) == 3 and collect.read_spool(spark, str(tmp_path / "s")).count() == 20
+
+
 def test_stream_is_exactly_once_over_a_crash(spark, tmp_path):
     (tmp_path / "in").mkdir()
     store, clock = LogStore(spark, str(tmp_path / "log"), compaction_threshold=3), iter(range(10**6, 10**9, 10))
