@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import drift, incremental, logs, messages, rejects
 from .tables import table
@@ -31,7 +32,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_loaded(spark: SparkSession, folder: str) -> DataFrame:
-    return rejects.loaded(table(spark, folder, "csv_entries"), rejects.table_fields(table(spark, folder, "txn_fields")))
+    """The typed rows, instants shown as microseconds since the epoch."""
+    rows = rejects.loaded(table(spark, folder, "csv_entries"), rejects.table_fields(table(spark, folder, "txn_fields")))
+    shown = {c: F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{c}`)") for c, kind in rows.dtypes if kind == "timestamp_ntz"}
+    return rows.withColumns(shown)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,6 +71,42 @@ WITH raw AS (
 )
 """
 
+# Bytes become characters one by one (0 to 255), so that rows that are no UTF-8 can be split too; a delimiter goes
+# before the row, so that every field begins with one.
+_ROWS = """
+WITH raw AS (
+  SELECT entry_id, import_id, data, coalesce(nullif(delimiter, ''), ',') AS d, array_to_string([chr(CAST('0x' || substr(hex(data), 2 * i - 1, 2) AS INTEGER)) FOR i IN range(1, octet_length(data) + 1)], '') AS t FROM csv_entries
+), payloads AS (
+  SELECT entry_id, import_id, data, d, CASE WHEN starts_with(t, '[') AND instr(t, '] ') > 1 THEN substr(t, instr(t, '] ') + 2) ELSE t END AS p FROM raw
+), records AS (
+  SELECT entry_id, import_id, try(decode(data)) IS NULL AS broken, d, p, regexp_full_match(d || p, '(' || regexp_escape(d) || '("([^"]|"")*"|[^"\r\n' || regexp_escape(d) || ']*))+') AS formed,
+    [CASE WHEN starts_with(f, d || '"') THEN replace(substr(f, 3, length(f) - 3), '""', '"') ELSE substr(f, 2) END FOR f IN regexp_extract_all(d || p, regexp_escape(d) || '("([^"]|"")*"|[^"\r\n' || regexp_escape(d) || ']*)')] AS f
+  FROM payloads
+), columns AS (
+  SELECT pos, field, kind, required, string_split(allowed, '|') AS allowed FROM txn_fields
+), names AS (
+  SELECT list(field ORDER BY pos) AS names FROM columns
+), wrong AS (
+  SELECT r.entry_id, bool_or(CASE WHEN r.f[c.pos] = '' THEN c.required
+      WHEN c.kind = 'integer' THEN NOT regexp_full_match(r.f[c.pos], '[0-9]+') OR TRY_CAST(r.f[c.pos] AS BIGINT) IS NULL
+      WHEN c.kind = 'instant' THEN NOT regexp_full_match(r.f[c.pos], '[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}[.][0-9]{3}Z') OR substr(r.f[c.pos], 12, 2) > '23' OR substr(r.f[c.pos], 18, 2) > '59' OR TRY_CAST(replace(substr(r.f[c.pos], 1, 23), 'T', ' ') AS TIMESTAMP) IS NULL
+      WHEN c.kind = 'choice' THEN NOT list_contains(c.allowed, r.f[c.pos]) ELSE false END) AS bad
+  FROM records r, columns c WHERE r.formed AND len(r.f) = (SELECT count(*) FROM columns) GROUP BY r.entry_id
+), judged AS (
+  SELECT r.entry_id, r.import_id, r.f, CASE WHEN NOT r.formed THEN 'quoting' WHEN len(r.f) <> (SELECT count(*) FROM columns) THEN 'column_count' WHEN r.broken THEN 'value' WHEN r.f = (SELECT names FROM names) THEN 'header' WHEN w.bad THEN 'value' ELSE 'loaded' END AS verdict
+  FROM records r LEFT JOIN wrong w ON w.entry_id = r.entry_id
+)
+"""
+
+
+def _loaded_sql() -> str:
+    """The columns of a row; texts are put together again from their bytes."""
+    kinds = {"timestamp": "epoch_us(CAST(replace(substr({0}, 1, 23), 'T', ' ') AS TIMESTAMP))"} | dict.fromkeys(["amount", "sender", "receiver"], "CAST(nullif({0}, '') AS BIGINT)")
+    text = "CASE WHEN {0} <> '' THEN decode(unhex(array_to_string([format('{{:02x}}', ascii(substr({0}, i, 1))) FOR i IN range(1, length({0}) + 1)], ''))) END"
+    names = ["txn_id", "terminal_id", "agent_id", "timestamp", "type", "amount", "currency", "method", "sender", "receiver", "status", "receipt", "note"]
+    return _ROWS + "SELECT entry_id, import_id, " + ", ".join(f'{kinds.get(n, text).format(f"f[{i}]")} AS "{n}"' for i, n in enumerate(names, 1)) + " FROM judged WHERE verdict = 'loaded'"
+
+
 _SAVES = """
 WITH runs AS (
   SELECT log_id, run_id, min(manifest_seq) AS added FROM sstables WHERE log_id IS NOT NULL AND run_id IS NOT NULL AND manifest_seq IS NOT NULL GROUP BY ALL
@@ -85,6 +125,8 @@ GROUP BY f.log_id, f.seq, f.timestamp_ns, f.data
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _ROWS + "SELECT entry_id, verdict AS reason FROM judged WHERE verdict NOT IN ('loaded', 'header')",
+        "p3_loaded": _loaded_sql(),
         "p4_found": _MESSAGES + "SELECT message_id, entry_id FROM ranked WHERE message_id IS NOT NULL AND place > 1",
         "p4_kept": _MESSAGES + "SELECT message_id, entry_id, CASE WHEN message_id IS NULL THEN 1 ELSE n END AS n FROM ranked WHERE message_id IS NULL OR place = 1",
         "p5_found": _SAVES,
