@@ -3,8 +3,8 @@
     <folder>/runs/<min>_<max>-<token>.parquet/   one sorted run (a Parquet data set), immutable
     <folder>/manifest/v<N>.json                  a whole manifest; made under a temporary name, then renamed
 
-A commit is the rename of a manifest to a name that must not exist yet: of two writers one fails and tries again on
-top of the other's.  Readers pin a manifest and read exactly its runs, which nothing deletes before `vacuum`.  Paths
+A commit is the rename of a manifest to a name that must not exist yet, under a claim that only one writer can create: of
+two writers one fails and tries again on top of the other's.  Readers pin a manifest and read exactly its runs, which nothing deletes before `vacuum`.  Paths
 go through Hadoop's file systems, so the folder may lie anywhere the cluster reaches.
 """
 
@@ -15,6 +15,7 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from .operators import compaction, reads, reports
 
 RUN_SCHEMA = "path string, min_timestamp_ns bigint, max_timestamp_ns bigint, entry_count bigint, bytes bigint"
 FORMAT = 1
+#: Seconds after which the claim of a writer on a version counts as left behind.
+CLAIM_S = 60.0
 
 
 class StoreError(RuntimeError):
@@ -131,13 +134,40 @@ class LogStore:
         missing = [r.path for r in new.runs if not self._fs.exists(self._path(f"runs/{r.path}"))]
         if missing:
             raise StoreError(f"runs of the manifest are missing: {missing[:3]}")
-        target, temporary = f"manifest/v{new.version:020d}.json", f"manifest/.v{new.version}-{uuid.uuid4().hex}.tmp"
+        target, temporary, claim = (f"manifest/{n}" for n in (f"v{new.version:020d}.json", f".v{new.version}-{uuid.uuid4().hex}.tmp", f".v{new.version:020d}.claim"))
         self._write_text(temporary, new.dumps())
-        if self._fs.exists(self._path(target)) or not self._fs.rename(self._path(temporary), self._path(target)):
+        if self._fs.exists(self._path(target)) or not self._claim(claim, target):
             self._fs.delete(self._path(temporary), False)
             raise CommitConflict(f"version {new.version} was committed by another writer")
+        try:
+            if not self._fs.rename(self._path(temporary), self._path(target)):
+                raise StoreError(f"{target} can't be written")
+        finally:
+            self._fs.delete(self._path(claim), False)
         return new
 
+    def _claim(self, claim: str, target: str) -> bool:
+        """Whether this writer may make the target: creating the claim fails for all but one.
+
+        The claim of a writer that died is broken once it is CLAIM_S old.
+        """
+        for _ in range(2):
+            try:
+                self._fs.create(self._path(claim), False).close()
+                if not self._fs.exists(self._path(target)):
+                    return True
+                self._fs.delete(self._path(claim), False)
+                return False
+            except Py4JJavaError:
+                try:
+                    age = time.time() - self._fs.getFileStatus(self._path(claim)).getModificationTime() / 1000
+                except Py4JJavaError:
+                    continue  # its writer is done
+                if age < CLAIM_S or self._fs.exists(self._path(target)):
+                    return False
+                self._fs.delete(self._path(claim), False)
+        return False
+
     # -- writing
 
     def _write_run(self, log: DataFrame) -> Run | None:
@@ -174,6 +204,7 @@ class LogStore:
             try:
                 return self._commit(new)
             except CommitConflict:
+                time.sleep(0.05)
                 manifest = self.manifest()
 
     def compact(self, force: bool = False) -> Manifest:
@@ -194,7 +225,7 @@ class LogStore:
             try:
                 return self._commit(latest.swap(gone, run))
             except CommitConflict:
-                continue
+                time.sleep(0.05)
 
     def vacuum(self, keep_versions: int = 1, older_than_s: float = 3600.0) -> list[str]:
         """Deletes runs that none of the last versions has, leftovers of writers, and older manifests.
@@ -210,7 +241,7 @@ class LogStore:
             for status in self._fs.listStatus(self._path(part)):
                 name = status.getPath().getName()
                 old = status.getModificationTime() <= limit
-                stale = name.endswith(".tmp") or (part == "runs" and name not in used) or (part == "manifest" and name.startswith("v") and int(name[1:-5]) not in kept)
+                stale = name.endswith((".tmp", ".claim")) or (part == "runs" and name not in used) or (part == "manifest" and name.startswith("v") and int(name[1:-5]) not in kept)
                 if old and stale:
                     doomed.append(f"{part}/{name}")
         for name in doomed:

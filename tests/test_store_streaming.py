@@ -1,14 +1,20 @@
 import io
 import json
+import os
+import signal
 import socket
 import struct
+import subprocess
+import sys
 import threading
 import time
+from dataclasses import replace
 from zlib import crc32
 
 import pytest
 
 from ledgerlog import cli
+from ledgerlog import store as store_module
 from ledgerlog.model import FlushMode, OutputFormat
 from ledgerlog.operators import reads, reports
 from ledgerlog.sources import binary, collect, generator, lines
@@ -87,6 +93,40 @@ def test_manifest_rules(spark, log_of, tmp_path):
     assert store.manifest() == first
 
 
+def test_writers_at_once_all_get_in(spark, log_of, tmp_path):
+    store = LogStore(spark, str(tmp_path))
+    store.append(log_of([(1, b"first")]))
+    logs = [log_of([(1000 + i, b"%d" % i)]) for i in range(6)]
+    runs = [LogStore(spark, str(tmp_path))._write_run(x) for x in logs]
+    base, wins = store.manifest(), []
+
+    def commit(run):
+        manifest = base
+        while True:
+            try:
+                wins.append(store._commit(replace(manifest, runs=(*manifest.runs, run))).version)
+                return
+            except CommitConflict:
+                time.sleep(0.01)
+                manifest = store.manifest()
+
+    threads = [threading.Thread(target=commit, args=(r,)) for r in runs]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(wins) == [2, 3, 4, 5, 6, 7] and len(store.manifest().runs) == 7 and store.entries().count() == 7
+
+
+def test_a_claim_that_was_left_behind(spark, log_of, tmp_path, monkeypatch):
+    store = LogStore(spark, str(tmp_path))
+    (tmp_path / "manifest" / f".v{1:020d}.claim").write_text("")
+    with pytest.raises(CommitConflict):
+        store._commit(Manifest())
+    monkeypatch.setattr(store_module, "CLAIM_S", 0.0)
+    assert store.append(log_of([(1, b"x")])).version == 1
+
+
 def test_export_is_whole_or_nothing(spark, log_of, tmp_path):
     store = LogStore(spark, str(tmp_path / "log"))
     store.append(log_of([(i * 10**9, b'say "%d"' % i) for i in range(5)]))
@@ -177,6 +217,45 @@ def test_stream_is_exactly_once_over_a_crash(spark, tmp_path):
     assert reports.verify(durable, store.entries(), 6, FlushMode.CAUTIOUS).passed
 
 
+JOB = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from ledgerlog.sources.lines import stream_lines
+from ledgerlog.store import LogStore
+from ledgerlog.streaming.ingest import Ingest
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {base!r} + "/shared").getOrCreate()
+spark.sparkContext.setLogLevel("ERROR")
+Ingest(LogStore(spark, {base!r} + "/log", compaction_threshold=3), stream_lines(spark, {base!r} + "/in", max_files=1), {base!r} + "/checkpoint").drain()
+"""
+
+
+def test_killed_ingestion_goes_on_where_it_was(spark, tmp_path):
+    """A process that ingests is killed outright, more than once; afterwards every line is there once, in order."""
+    (tmp_path / "in").mkdir()
+    for i in range(8):
+        (tmp_path / "in" / f"{i}.log").write_text("".join(f"{i}-{k}\n" for k in range(5)))
+        os.utime(tmp_path / "in" / f"{i}.log", (1000 + i, 1000 + i))
+    store = LogStore(spark, str(tmp_path / "log"))
+    acknowledged = 0
+    for goal in (1, 3):
+        process = subprocess.Popen([sys.executable, "-c", JOB.format(root=os.environ["PYTHONPATH"].split(os.pathsep)[0], base=str(tmp_path))], stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, start_new_session=True)
+        until = time.time() + 60
+        while process.poll() is None and dict(store.manifest().batches).get("ingest", -1) < goal and time.time() < until:
+            time.sleep(0.05)
+        os.killpg(process.pid, signal.SIGKILL)
+        process.wait()
+        durable = store.entries()
+        verdict = reports.verify(durable, store.entries(), acknowledged, FlushMode.CAUTIOUS)
+        assert verdict.passed
+        acknowledged = durable.count()
+        assert acknowledged >= 5 * (goal + 1)
+    Ingest(store, lines.stream_lines(spark, str(tmp_path / "in"), max_files=1), str(tmp_path / "checkpoint")).drain()
+    got = rows(store.entries())
+    assert [d.split(b"] ")[1].decode() for _, d in got] == [f"{i}-{k}" for i in range(8) for k in range(5)]
+    assert len({t for t, _ in got}) == len(got)
+
+
 def test_escalation_commits_what_is_there(spark, tmp_path):
     (tmp_path / "in").mkdir()
     store = LogStore(spark, str(tmp_path / "log"), compaction_threshold=2)
