@@ -41,7 +41,8 @@ class Edit:
 
 
 def value_features(value: object) -> Iterable[str]:
-    """What a field's profile counts of one value: `n`, its shape `s:…`, its length `l:…`, a bucket of the value `v:…`, its size `m:…`."""
+    """What a field's profile counts of one value: `n`, its shape `s:…`, its length `l:…`, buckets of its words `w:…`
+    and of itself `v:…`, its size `m:…`."""
     yield "n"
     if isinstance(value, bool):
         yield "s:bool"
@@ -51,6 +52,8 @@ def value_features(value: object) -> Iterable[str]:
     elif isinstance(value, str):
         yield "s:" + _shape(value)
         yield f"l:{min(len(value), 32)}"
+        for word in re.findall(r"[^\W\d_]+", value):
+            yield f"w:{crc32(word.encode('utf-8', 'surrogatepass')) % BUCKETS}"
         yield f"v:{crc32(value.encode('utf-8', 'surrogatepass')) % BUCKETS}"
     elif isinstance(value, list):
         for x in value[:1]:
@@ -82,9 +85,9 @@ def _overlap(a: dict[str, float], b: dict[str, float]) -> float:
     return sum(min(v, b.get(k, 0.0)) for k, v in a.items())
 
 
-def _repeats(profile: dict[str, int]) -> float:
+def _repeats(profile: dict[str, int], kind: str = "v:") -> float:
     """How concentrated the values are: 0 where all differ, towards 1 where few recur (by chance of two being equal)."""
-    values = [v for k, v in profile.items() if k.startswith("v:")]
+    values = [v for k, v in profile.items() if k.startswith(kind)]
     n = sum(values)
     if n < 2:
         return 0.0
@@ -104,12 +107,18 @@ def value_distance(a: Node, b: Node) -> float:
         near = _overlap(_blurred(a.profile), _blurred(b.profile))
         return 1 - max(near * (1 - abs(ra - rb)), values * (ra > 0.1 and rb > 0.1), min(sizes, near))
     if a.kind in ("string", "array"):
-        plain = all(re.fullmatch(r"s:(a( a)*)?", k) for p in (a.profile, b.profile) for k in p if k.startswith("s:"))
-        if plain:  # only words: they tell by which words recur, and by whether any do
+        words = {k for p in (a.profile, b.profile) for k in p if re.fullmatch(r"s:(a( a)*)?", k)}
+        if all(k in words for p in (a.profile, b.profile) for k in p if k.startswith("s:")):
+            # only words: they tell by which words recur, and by whether any do
             lengths = _overlap(_part(a.profile, "l:"), _part(b.profile, "l:"))
             return 1 - max(values, shapes * lengths * (1 - min(1.0, 4 * abs(ra - rb))) * (ra < 0.1 and rb < 0.1))
         known = values if ra > 0.03 and rb > 0.03 else 0.0
-        return (1 - known) * (1 - shapes)
+        if min(_repeats(a.profile, "w:"), _repeats(b.profile, "w:")) > 0.03:
+            known = max(known, _overlap(_part(a.profile, "w:"), _part(b.profile, "w:")))
+        sa, sb = _part(a.profile, "s:"), _part(b.profile, "s:")
+        telling = sum(min(n, sb.get(k, 0.0)) for k, n in sa.items() if k not in words)
+        # words beside other shapes are alike only as far as the same ones recur
+        return (1 - known) * (1 - telling - (shapes - telling) * known)
     return 1 - shapes
 
 

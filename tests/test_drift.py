@@ -70,6 +70,8 @@ def test_of_two_candidates_the_nearer_is_taken():
         (list(range(1000, 1200)), list(range(900, 1300, 7)), True),
         (list(range(1000, 1200)), [i % 100 for i in range(50)], False),
         ([True, False], [False], True),
+        (["QZS"] * 40 + ["VNT"] * 3, ["retry"] * 4 + ["kiosk"] * 3 + ["bulk"] * 3 + ["a|b", "b|c", "c|a"] * 3, False),
+        (["promo|bulk", "bulk", "night|promo|bulk"] * 4, ["night", "bulk|night", "promo|night"] * 4, True),
         ([["a", "b"], ["c"]] * 5, [["b"], ["c", "a"]] * 5, True),
         ([{"lane": 1, "os": "x"}], [{"lane": 2, "os": "y"}], True),
         ([{"lane": 1, "os": "x"}], [{"units": 2, "scale": 0}], False),
