@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
 from .payload import split_tag
 from .schema_tree import Node, script, value_features, with_moves
 
 _SEP = "\x1f"
 #: Consecutive files of a feed that one task orders.
 _SPAN = 1024
+#: Up to so many files (some 20 MB with their names) go to every task; beyond, entries meet their files in a shuffle.
+_BROADCAST_FILES = 100_000
 
 
 def parse_object(data: bytes | None) -> dict | None:
@@ -123,7 +126,9 @@ def _profiles(entries: DataFrame, wanted: DataFrame) -> DataFrame:
                             counts[(file, name, feature)] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.string()), pa.array([k[2] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["file_id", "name", "feature", "n"])
 
-    rows = entries.select(F.col("file_id").cast("bigint"), F.col("data").cast("binary")).join(wanted, "file_id").select("file_id", "names", "data")
+    wanted = cut_lineage(wanted)  # a row per file with a candidate; its size decides how it meets the entries
+    side = F.broadcast(wanted) if wanted.count() <= _BROADCAST_FILES else wanted
+    rows = entries.select(F.col("file_id").cast("bigint"), F.col("data").cast("binary")).join(side, "file_id").select("file_id", "names", "data")
     features = rows.mapInArrow(run, "file_id bigint, name string, feature string, n bigint").groupBy("file_id", "name", "feature").agg(F.sum("n").alias("n"))
     return features.groupBy("file_id").agg(F.collect_list(F.struct("name", "feature", "n")).alias("profile"))
 
@@ -170,8 +175,6 @@ def changes(entries: DataFrame, files: DataFrame) -> DataFrame:
     files (an empty schema) and extra columns are allowed.  Values are profiled only in files where some field goes
     while another of its JSON kind comes: elsewhere nothing can be a rename.
     """
-    from .lineage import cut_lineage
-
     changed = cut_lineage(_changed(entries, files))  # one row per changed file; it is used three times
     top = lambda c: F.filter(F.map_entries(c), lambda e: ~F.contains(e["key"], F.lit(_SEP)))
     names = changed.withColumns({"a": top("was"), "b": top("now")})
@@ -220,8 +223,6 @@ def unified(entries: DataFrame, files: DataFrame) -> DataFrame:
     and `_` replaced, so they can't clash with the keys.  The list of names comes to the driver (it is the schema).
     """
     fields = file_fields(entries).where(~F.contains("path", F.lit(_SEP)))
-    from .lineage import cut_lineage
-
     fields = cut_lineage(fields)
     uses = {r.path: r.n for r in fields.groupBy("path").agg(F.sum("n").alias("n")).collect()}
     renames = [(r.old_field, r.new_field, r.n) for r in top_level_changes(entries, files).where("change = 'renamed'").groupBy("old_field", "new_field").agg(F.count("*").alias("n")).collect()]

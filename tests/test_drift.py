@@ -106,7 +106,9 @@ def feed(spark):
     return entries, files.withColumn("file_seq", F.when(F.col("file_id") == 3, 5000).otherwise(F.col("file_seq")))
 
 
-def test_changes(feed):
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_changes(feed, monkeypatch, most):
+    monkeypatch.setattr(drift, "_BROADCAST_FILES", most)
     got = sorted(tuple(r) for r in drift.top_level_changes(*feed).collect())
     assert got == [(2, "renamed", "txn_id", "message_id"), (3, "added", "", "late"), (3, "retyped", "amount", "amount"), (5, "removed", "alone", "")]
     deeper = {tuple(r)[:4] for r in drift.changes(*feed).where("depth > 1").collect()}
