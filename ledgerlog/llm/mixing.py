@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut_lineage
 from .bpe import DEFAULT_VOCABULARY
 from .tokenize import count_tokens
 
@@ -66,7 +67,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: float | None
     keep = (id_col, source_col, *([weight] if weight else []))
     counted = count_tokens(documents, text_col, vocabulary, keep)
     counted = counted.select(F.col(id_col).alias("doc"), source_name(F.col(source_col)).alias("source"), "tokens", (F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)).alias("weight")).where("source is not null and tokens > 0 and weight > 0")
-    counted = _kept(counted)
+    counted = cut_lineage(counted)  # a few bytes a document, read several times
     sizes = counted.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("weight")).alias("weighed"))
     steps = plan(sizes, targets, total_tokens).where("times > 0").select("source", "max_repeats", "take_tokens", (F.col("take_tokens") / F.col("weighed")).alias("rate"))
     # The plan has a row per source of the targets, so it is a small side whatever the corpus is; AQE sees its size.
@@ -104,13 +105,6 @@ def corpus(documents: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_
     return both.select(id_col, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "source", "tokens", "text")
 
 
-def _kept(counted: DataFrame) -> DataFrame:
-    """Token counts are read several times; they go to the shared checkpoint folder (a few bytes a document)."""
-    from ..operators.lineage import cut_lineage
-
-    return cut_lineage(counted)
-
-
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, docs, copies, tokens, actual_share) of the mixed corpus, also of sources that got nothing."""
     got = mixed.groupBy("source").agg(F.count("*").alias("docs"), F.sum("copies").alias("copies"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
