@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
+
 #: Saves of a block, and blocks of a group of blocks: arrays that are looked through have this length at most.
 BLOCK = 128
 
@@ -123,7 +124,11 @@ class IncrementalJob:
             old = self.spark.read.parquet(f"{self.folder}/commit-{last}/backlog")
             both = found.unionByName(old).groupBy("log_id", "timestamp_ns", "digest")
             found = both.agg(F.min("added").alias("added"), F.flatten(F.collect_list("copies")).alias("copies"))
+            found = cut_lineage(found)
+            span = found.agg(F.min("timestamp_ns").alias("low"), F.max("timestamp_ns").alias("high")).first()
             before = self.spark.read.parquet(*(f"{self.folder}/commit-{n}/output" for n in done)).select("log_id", "timestamp_ns", "digest")
+            if span.low is not None:  # of the history only the stretch that the new entries lie in is read
+                before = before.where(F.col("timestamp_ns").between(span.low, span.high))
             found = found.join(before, ["log_id", "timestamp_ns", "digest"], "left_anti")
         fresh = saves.join(limits, "log_id").where("seq > mark and seq <= upper").select("log_id", "seq", "checkpoint")
         searched = found.join(limits.select("log_id", "mark"), "log_id").withColumns({"since": F.col("added"), "added": F.greatest("added", F.col("mark") + 1)}).drop("mark")
@@ -139,5 +144,5 @@ class IncrementalJob:
             before_commit()
         if self._fs.exists(self._path(f"{self.folder}/commit-{last + 1}")) or not self._fs.rename(self._path(stage), self._path(f"{self.folder}/commit-{last + 1}")):
             self._fs.delete(self._path(stage), True)
-            raise RuntimeError(f"another run committed {json.dumps(last + 1)} first")
+            raise RuntimeError(f"another run made commit {last + 1} first")
         return last + 1
