@@ -100,7 +100,7 @@ def feed(spark):
     second = [{"message_id": f"TXN-{i:04d}", "amount": 130 + i, "meta": {"lane": i, "os": "x"}} for i in range(20, 40)]
     third = [{"message_id": f"TXN-{i:04d}", "amount": str(i), "meta": {"lane": i, "os": "x"}, "late": True} for i in range(40, 60)]
     payloads = [(1, p) for p in ids] + [(2, p) for p in second] + [(3, p) for p in third] + [(1, p) for p in ids[:5]]
-    payloads += [(2, b"[t] PING"), (2, b"[t] []"), (2, b"[t] \xff{"), (2, None), (2, b"[t] "), (2, b'[t] {"broken'), (None, {"x": 1}), (4, {"alone": 1}), (99, {"no": "file"})]
+    payloads += [(2, b"[t] PING"), (2, b"[t] []"), (2, b"[t] \xff{"), (2, None), (2, b"[t] "), (2, b'[t] {"broken'), (None, {"x": 1}), (4, {"alone": 1}), (4, {}), (2, {}), (2, {"gone": None}), (99, {"no": "file"})]
     entries = spark.createDataFrame(rows(payloads), ENTRIES).repartition(3)
     files = spark.createDataFrame([(3, "f", 9, None, 0, 0), (1, "f", 1, None, 0, 0), (2, "f", 3000, None, 0, 0), (1, "f", 1, None, 0, 0), (4, "g", 1, None, 0, 0), (None, "f", 4, None, 0, 0), (7, None, 4, None, 0, 0), (8, "f", None, None, 0, 0), (5, "g", 2, None, 0, 0)], FILES)
     return entries, files.withColumn("file_seq", F.when(F.col("file_id") == 3, 5000).otherwise(F.col("file_seq")))
@@ -120,10 +120,10 @@ def test_preceding_crosses_spans_and_gaps(feed):
 
 
 def test_unified_table(feed):
-    table = drift.unified(*feed)
+    table = drift.unified(*feed)  # an empty object is a row of nulls
     assert {"entry_id", "file_id", "f_amount", "f_message_id", "f_meta", "f_late"} <= set(table.columns) and "f_txn_id" not in table.columns
     got = table.where("file_id in (1, 2, 3)").collect()
-    assert len(got) == 65 and all(r.f_message_id.startswith("TXN-") for r in got) and {r.f_late for r in got} == {None, "true"}
+    assert len(got) == 67 and sum(r.f_message_id is None for r in got) == 2 and all(r.f_message_id.startswith("TXN-") for r in got if r.f_message_id) and {r.f_late for r in got} == {None, "true"}
     assert table.where("file_id = 4").first().f_alone == "1"
 
 
