@@ -117,3 +117,42 @@ def test_log_records(spark, folder):
             expected[current[tag]][3] += "\n" + text.decode()
     got = {r.entry_id: list(r)[1:] for r in entry.queries()["p1_found"](spark, folder).collect()}
     assert got == expected
+
+
+#: Names that the producers of the given tables use for one field each; the operator sees only values.
+FIELDS = """txn_id txnId txn_ref transaction_id message_id|terminal_id terminalId device term|agent_id agentId operator clerk|timestamp ts event_time occurredAt|type kind operation txn_type
+amount amt totalAmount value|currency ccy currencyCode|method channel instrument pay_method|sender payer src_account from_no|receiver payee dst_account to_no|status state result outcome
+receipt slip receiptId receipt_no|note memo remark|labels tags marks|loyalty rewards is_member|offline was_queued|latency_ms elapsed rtt|geo_cell grid cellId|battery_pct batt batteryLevel
+app_version appVer build|meta context attributes|fee commission charge|reversal_of reverses|settled_at clearedAt"""
+FIELD = {n: i for i, g in enumerate(FIELDS.replace("\n", "|").split("|")) for n in g.split()}
+
+
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.01"])
+def test_schema_changes(spark, folder):
+    kind = lambda v: "boolean" if isinstance(v, bool) else {str: "string", int: "integer", float: "number", list: "array", dict: "object"}[type(v)]
+    schemas = {}
+    for file, data in duckdb.execute(f"SELECT file_id, data FROM '{folder}/txn_entries.parquet'").fetchall():
+        try:
+            value = json.loads(data.split(b"] ", 1)[1])
+        except ValueError:
+            continue
+        if isinstance(value, dict):
+            schemas.setdefault(file, {}).update({k: kind(v) for k, v in value.items() if v is not None})
+    expected, before = set(), {}
+    for feed, _, file in duckdb.execute(f"SELECT feed, file_seq, file_id FROM '{folder}/feed_files.parquet' ORDER BY 1, 2").fetchall():
+        now = schemas.get(file, {})
+        if feed in before:
+            was = before[feed]
+            gone, come = [k for k in was if k not in now], [k for k in now if k not in was]
+            expected |= {(file, "retyped", k, k) for k in was if k in now and was[k] != now[k]}
+            for a in list(gone):
+                for b in come:
+                    if FIELD.get(a, a) == FIELD.get(b, b) and was[a] == now[b]:
+                        expected.add((file, "renamed", a, b))
+                        gone.remove(a)
+                        come.remove(b)
+                        break
+            expected |= {(file, "removed", a, "") for a in gone} | {(file, "added", "", b) for b in come}
+        before[feed] = now
+    got = [tuple(r) for r in entry.queries()["p2_found"](spark, folder).collect()]
+    assert set(got) == expected and len(got) == len(expected)
