@@ -275,6 +275,12 @@ class LogStore:
     def stats(self) -> DataFrame:
         return self.snapshot().stats()
 
+    def view(self, name: str, version: int | None = None) -> DataFrame:
+        """The log of a version as a temporary view for SQL; later versions don't change it."""
+        log = self.snapshot(version).log()
+        log.createOrReplaceTempView(name)
+        return log
+
     def export(self, output: str, kind: OutputFormat, low: int | None = None, high: int | None = None, limit: int = reads.DEFAULT_LIMIT) -> int:
         """One file of rendered lines in order, which appears whole or not at all; the number of entries.
 

@@ -162,3 +162,18 @@ def test_runs_of_the_job_survive_failures(spark, tmp_path):
     job.run(*until(30))  # nothing is new
     got = sorted((r.log_id, r.manifest_seq, r.entry_id) for r in job.output().collect())
     assert got == brute(entries, sstables, manifests) and job.commits() == [1, 2, 3, 4, 5]
+
+
+def test_stream_without_repeats(spark, tmp_path):
+    from ledgerlog.streaming.ingest import deduplicated
+
+    schema = "entry_id long, timestamp_ns long, data binary, arrived timestamp"
+    for i, part in enumerate(([(1, "a", 10), (2, "b", 11), (3, "a", 12)], [(4, "a", 13), (5, "c", 14)], [(6, "b", 20), (7, None, 21)])):
+        rows = [(e, t, json.dumps({"txn_id": f"TXN-{k}" if k else ""}).encode(), t) for e, k, t in part]
+        spark.createDataFrame(rows, "entry_id long, timestamp_ns long, data binary, at long").withColumn("arrived", F.timestamp_seconds("at")).drop("at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"part={i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
+    named = stream.withColumn("message_id", messages.message_id(F.col("data"))).where("message_id is not null")
+    query = deduplicated(named).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    query.awaitTermination()
+    got = [r.message_id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got) == ["TXN-a", "TXN-b", "TXN-c"]

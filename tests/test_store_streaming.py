@@ -35,6 +35,8 @@ def test_append_scan_get_stats(spark, log_of, tmp_path):
     assert rows(store.scan(2, 4)) == [(2, b"b"), (3, b"c"), (4, b"ddd")]
     assert store.get(4) == b"ddd" and store.get(9) is None
     assert tuple(store.stats().first()) == (2, 5, 1, 5, 5 * 8 + 7, 5)
+    store.view("stored", 1)
+    assert spark.sql("SELECT count(*) FROM stored WHERE timestamp_ns >= 2").first()[0] == 2
     assert store.append(log_of([])).version == 2  # nothing to commit
 
 
