@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut_lineage
 from .payload import payload_text
 
 #: Names under which producers send a message's own identifier.  References to another message have other names.
 IDENTIFIER_FIELDS = ("txn_id", "txnId", "txn_ref", "transaction_id", "message_id")
 #: How an identifier begins.
 IDENTIFIER_PREFIX = "TXN-"
+#: Up to so many repeated identifiers, some 20 MB, are sent to every task.
+BROADCAST_IDENTIFIERS = 200_000
 
 
 def message_id(data: Column, fields: Sequence[str] = IDENTIFIER_FIELDS, prefix: str = IDENTIFIER_PREFIX) -> Column:
@@ -39,10 +42,14 @@ def surplus(entries: DataFrame, identifier: Column | None = None) -> DataFrame:
     payload's own identifier.  The entry with the smallest (timestamp_ns, entry_id) stays; a null timestamp comes
     last.  Entries without identifier are never surplus.  Rows equal in identifier, timestamp and entry id are one
     entry.  Identifiers that occur once end at the count; only repeated groups are looked at again, by a join with
-    their first entries (no group is gathered anywhere, and skewed ones are split by adaptive execution).
+    their first entries (no group is gathered anywhere).  If the repeated identifiers are few they go to every task and
+    no entry is moved; beyond BROADCAST_IDENTIFIERS the entries meet them in a shuffle, whose skewed partitions
+    adaptive execution splits.
     """
     keys = _keys(entries, identifier)
-    repeated = _frequencies(keys).where("n > 1").select("message_id", "first")
+    repeated = cut_lineage(_frequencies(keys).where("n > 1").select("message_id", "first"))
+    if repeated.count() <= BROADCAST_IDENTIFIERS:
+        repeated = F.broadcast(repeated)
     return keys.where("message_id is not null").join(repeated, "message_id").where(F.col("at") > F.col("first")).select("message_id", F.col("at.entry").alias("entry_id"))
 
 

@@ -65,7 +65,9 @@ def test_new_against_stored(spark, sent):
     assert got == {"TXN-2": 4, "TXN-3": 13, "TXN-4": 14}
 
 
-def test_one_identifier_in_a_third_of_all_rows(spark):
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_one_identifier_in_a_third_of_all_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(messages, "BROADCAST_IDENTIFIERS", most)
     rng = random.Random(1)
     rows = [(i, rng.randrange(50), f'[t] {{"txn_id":"TXN-{0 if rng.random() < 0.34 else rng.randrange(2000)}"}}'.encode()) for i in range(3000)]
     by = defaultdict(list)
