@@ -3,8 +3,8 @@
 A text's words (letters only; case, digits and punctuation are dropped) are hashed in numpy, a block of documents at
 a time.  A passage is the shortest run of words, from any word on, that counts six; a letter of a script without
 spaces counts half a word, so twelve of them make a passage.  A passage that occurred earlier in its document covers
-its words.  Lines and sentences (long ones in parts) are the units of the sequence; what share of a unit is covered,
-and its length, are its features.
+its words.  Lines and sentences, parted where coverage begins or ends and after so many words, are the units of the
+sequence; whether a unit is covered, and its length, are its features.
 """
 
 from __future__ import annotations
@@ -141,7 +141,7 @@ def analyse(codes: np.ndarray, doc_starts: np.ndarray, passage: int = PASSAGE) -
     covered = np.cumsum(step)[:m] > 0
     ends = np.r_[0, np.cumsum(kind == _END)]
     fresh = np.ones(m, bool)
-    fresh[1:] = (ends[at[1:]] != ends[at[:-1]]) | (doc[1:] != doc[:-1])
+    fresh[1:] = (ends[at[1:]] != ends[at[:-1]]) | (doc[1:] != doc[:-1]) | (covered[1:] != covered[:-1])
     opened = np.flatnonzero(fresh)
     nth = np.arange(m) - np.repeat(opened, np.diff(np.r_[opened, m]))
     unit_at = np.flatnonzero(nth % UNIT_WORDS == 0)
@@ -171,7 +171,8 @@ def train(texts: list[str], seed: int = 5) -> crf.Chain:
     """Fitted on texts into which units of their own were copied, so that the copies are known.
 
     Each text is cut at the ends of lines and sentences; runs of one to four pieces are put in again further on, as
-    often as to make up from nothing to most of the text.  Pieces put in are labelled repeated, all others new.
+    often as to make up from nothing to most of the text.  Pieces put in are labelled repeated, and so is what the text
+    repeated by itself; all others are new.
     """
     random = np.random.default_rng(seed)
     made, truth = [], []
@@ -197,7 +198,7 @@ def train(texts: list[str], seed: int = 5) -> crf.Chain:
         return crf.Chain(np.array([[0.0, 0.0], [-4.0, 4.0], [0.0, 0.0], [0.0, 0.0], [0.0, 0.0], [0.0, 0.0]]), np.zeros((2, 2)))
     codes, doc_starts = _codes(made)
     a = analyse(codes, doc_starts)
-    labels = np.concatenate(truth)[a["unit_pos"]].astype(int)
+    labels = (np.concatenate(truth)[a["unit_pos"]] | (a["unit_share"] > 0.5)).astype(int)
     return crf.fit(features(a), labels, _parts(np.bincount(a["unit_doc"], minlength=len(made))))
 
 

@@ -127,6 +127,16 @@ def test_held_out_accuracy():
     assert ((decoded > rep.LIMIT) == [r for _, r in cases]).mean() == 1.0 and ((measured > rep.LIMIT) == [r for _, r in cases]).all()
 
 
+def test_a_phrase_in_every_sentence_is_found_too():
+    rng = random.Random(8)
+    chain = rep.train([spaced(rng, 25) for _ in range(60)])
+    phrase = "limited offer for the finest boxes in town"
+    texts = [" ".join(f"{phrase} {' '.join(rng.choice(VOCABULARY) for _ in range(n))}." for _ in range(40)) for n in (6, 30)]
+    codes, starts = rep._codes(texts)
+    decoded, measured = rep.decode(chain, codes, starts)
+    assert measured[0] > 0.5 and decoded[0] > rep.LIMIT and measured[1] < 0.25 and abs(decoded[1] - measured[1]) < 0.15
+
+
 def test_operator_on_odd_rows(spark):
     rng = random.Random(6)
     fine, spam = spaced(rng, 30), spaced(rng, 8) + " " + "Buy the cheap brown boxes here today. " * 40
