@@ -56,9 +56,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 # Entries that are no JSON object (other JSON, plain text, bytes that are no UTF-8) have no identifier.
 _MESSAGES = """
-WITH raw AS (
-  SELECT entry_id, timestamp_ns, substr(data, coalesce(nullif(instr(decode_text, '] '), 0) + 2, 1)) AS payload
-  FROM (SELECT entry_id, timestamp_ns, t AS data, t AS decode_text FROM (SELECT entry_id, timestamp_ns, try(decode(data)) AS t FROM txn_entries))
+WITH texts AS (
+  SELECT entry_id, timestamp_ns, try(decode(data)) AS t FROM txn_entries
+), raw AS (
+  SELECT entry_id, timestamp_ns, CASE WHEN starts_with(t, '[') AND instr(t, '] ') > 1 THEN substr(t, instr(t, '] ') + 2) ELSE t END AS payload FROM texts
 ), objects AS (
   SELECT entry_id, timestamp_ns, CASE WHEN json_valid(payload) AND json_type(payload) = 'OBJECT' THEN payload END AS j FROM raw
 ), named AS (
