@@ -15,6 +15,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return logs.records(table(spark, folder, "log_entries"))
 
 
+def p1_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    return logs.layouts(table(spark, folder, "log_entries"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return drift.top_level_changes(table(spark, folder, "txn_entries"), table(spark, folder, "feed_files"))
 
@@ -51,7 +55,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_scripts, p2_table, p3_found, p3_loaded, p4_found, p4_kept, p5_found)}
+    return {f.__name__: f for f in (p1_found, p1_layouts, p2_found, p2_scripts, p2_table, p3_found, p3_loaded, p4_found, p4_kept, p5_found)}
 
 
 # Entries that are no JSON object (other JSON, plain text, bytes that are no UTF-8) have no identifier.
