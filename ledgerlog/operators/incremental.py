@@ -80,6 +80,12 @@ def processed(entries: DataFrame, sstables: DataFrame, manifests: DataFrame) ->
     return all_.where("seq is not null").select("log_id", F.col("seq").alias("manifest_seq"), _smallest_visible().alias("entry_id"))
 
 
+_OUTPUT = "log_id bigint, manifest_seq bigint, entry_id bigint, timestamp_ns bigint, digest string"
+_BACKLOG = "log_id bigint, timestamp_ns bigint, added bigint, copies array<struct<added:bigint,entry_id:bigint>>, digest string"
+_WATERMARK = "log_id bigint, mark bigint"
+_PLACED = "log_id bigint, timestamp_ns bigint, since bigint, copies array<struct<added:bigint,entry_id:bigint>>, digest string, seq bigint"
+
+
 class IncrementalJob:
     """Processes, run by run, what is new or changed since the last successful run.
 
@@ -100,13 +106,18 @@ class IncrementalJob:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
         return sorted(int(n.removeprefix("commit-")) for n in names if n.startswith("commit-"))
 
-    def _watermark(self, number: int) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.folder}/commit-{number}/watermark") if number else None
+    def _read(self, part: str, schema: str, numbers: list[int]) -> DataFrame:
+        if not numbers:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/commit-{n}/{part}" for n in numbers))
 
-    def output(self) -> DataFrame | None:
+    def _write(self, rows: DataFrame, path: str, schema: str) -> None:
+        kinds = dict(f.split(" ", 1) for f in schema.split(", "))
+        rows.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items())).write.parquet(path)
+
+    def output(self) -> DataFrame:
         """(log_id, manifest_seq, entry_id) of all successful runs."""
-        done = self.commits()
-        return self.spark.read.parquet(*(f"{self.folder}/commit-{n}/output" for n in done)).select("log_id", "manifest_seq", "entry_id") if done else None
+        return self._read("output", _OUTPUT, self.commits()).select("log_id", "manifest_seq", "entry_id")
 
     def run(self, entries: DataFrame, sstables: DataFrame, manifests: DataFrame, before_commit=None) -> int:
         """One run; the number of its commit.  ``before_commit`` is called just before the rename (tests fail there)."""
@@ -114,19 +125,17 @@ class IncrementalJob:
         last = done[-1] if done else 0
         saves = committed_saves(manifests)
         upper = saves.groupBy("log_id").agg(F.max("seq").alias("upper"))
-        known = self._watermark(last)
-        if known is None:
-            known = upper.select("log_id", F.lit(None).cast("bigint").alias("mark")).where("false")
+        known = self._read("watermark", _WATERMARK, done[-1:])
         limits = upper.join(known, "log_id", "full").select("log_id", F.coalesce("mark", F.lit(0)).alias("mark"), F.coalesce("upper", "mark", F.lit(0)).alias("upper"))
         runs = visible_runs(sstables).join(limits, "log_id").where("added > mark and added <= upper").select("log_id", "run_id", "added")
         found = contents(entries, runs).withColumn("digest", F.when(F.col("absent"), F.lit("absent")).otherwise(F.sha2("data", 256))).drop("data", "absent")
         if last:
-            old = self.spark.read.parquet(f"{self.folder}/commit-{last}/backlog")
+            old = self._read("backlog", _BACKLOG, [last])
             both = found.unionByName(old).groupBy("log_id", "timestamp_ns", "digest")
             found = both.agg(F.min("added").alias("added"), F.flatten(F.collect_list("copies")).alias("copies"))
             found = cut_lineage(found)
             span = found.agg(F.min("timestamp_ns").alias("low"), F.max("timestamp_ns").alias("high")).first()
-            before = self.spark.read.parquet(*(f"{self.folder}/commit-{n}/output" for n in done)).select("log_id", "timestamp_ns", "digest")
+            before = self._read("output", _OUTPUT, done).select("log_id", "timestamp_ns", "digest")
             if span.low is not None:  # of the history only the stretch that the new entries lie in is read
                 before = before.where(F.col("timestamp_ns").between(span.low, span.high))
             found = found.join(before, ["log_id", "timestamp_ns", "digest"], "left_anti")
@@ -134,11 +143,11 @@ class IncrementalJob:
         searched = found.join(limits.select("log_id", "mark"), "log_id").withColumns({"since": F.col("added"), "added": F.greatest("added", F.col("mark") + 1)}).drop("mark")
         placed = assign(searched, fresh)
         stage = f"{self.folder}/staging-{uuid.uuid4().hex}"
-        placed.write.parquet(f"{stage}/placed")
-        placed = self.spark.read.parquet(f"{stage}/placed")
-        placed.where("seq is not null").select("log_id", F.col("seq").alias("manifest_seq"), _smallest_visible().alias("entry_id"), "timestamp_ns", "digest").write.parquet(f"{stage}/output")
-        placed.where("seq is null").select("log_id", "timestamp_ns", F.col("since").alias("added"), "copies", "digest").write.parquet(f"{stage}/backlog")
-        limits.select("log_id", F.col("upper").alias("mark")).write.parquet(f"{stage}/watermark")
+        self._write(placed, f"{stage}/placed", _PLACED)
+        placed = self.spark.read.schema(_PLACED).parquet(f"{stage}/placed")
+        self._write(placed.where("seq is not null").withColumns({"manifest_seq": F.col("seq"), "entry_id": _smallest_visible()}), f"{stage}/output", _OUTPUT)
+        self._write(placed.where("seq is null").withColumn("added", F.col("since")), f"{stage}/backlog", _BACKLOG)
+        self._write(limits.withColumn("mark", F.col("upper")), f"{stage}/watermark", _WATERMARK)
         self._fs.delete(self._path(f"{stage}/placed"), True)
         if before_commit:
             before_commit()
