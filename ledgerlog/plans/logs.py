@@ -168,10 +168,9 @@ def q_replay_tail(spark, folder):
 
 
 def q_durable_missing(spark, folder):
-    """Bounds that the catalogue acknowledges but no run holds."""
-    catalog = table(spark, folder, "sstables")
-    durable = catalog.select(F.col("min_timestamp_ns").alias("timestamp_ns")).unionByName(catalog.select(F.col("max_timestamp_ns").alias("timestamp_ns")))
-    return reports.missing(durable, table(spark, folder, "run_entries"))
+    """Timestamps of entries that a recovery from the catalogued runs alone would not bring back."""
+    entries = table(spark, folder, "run_entries")
+    return reports.missing(entries, entries.join(table(spark, folder, "sstables").select("log_id", "run_id").distinct(), ["log_id", "run_id"], "left_semi"))
 
 
 def q_orphans(spark, folder):
@@ -255,7 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "q_storage_stats": "WITH top AS (SELECT coalesce(max(checkpoint_timestamp_ns), 0) AS top FROM manifests WHERE state = 'committed'), tail AS (SELECT data FROM run_entries, top WHERE timestamp_ns > top) SELECT (SELECT count(DISTINCT (log_id, run_id)) FROM sstables) AS runs, (SELECT coalesce(max(max_timestamp_ns), 0) FROM sstables) AS checkpoint_ns, (SELECT count(*) FROM tail) AS tail_entries, CAST((SELECT coalesce(sum(octet_length(data) + 8), 0) FROM tail) AS BIGINT) AS tail_bytes",
         "q_whole_bounds": "SELECT min(min_timestamp_ns) AS min_timestamp_ns, max(max_timestamp_ns) AS max_timestamp_ns FROM sstables",
         "q_replay_tail": "SELECT e.log_id, count(*) AS entries, min(e.timestamp_ns) AS first_ns, max(e.timestamp_ns) AS last_ns FROM run_entries e JOIN (SELECT log_id, max(checkpoint_timestamp_ns) AS top FROM manifests WHERE state = 'committed' GROUP BY 1) t ON t.log_id = e.log_id WHERE e.timestamp_ns > t.top GROUP BY 1",
-        "q_durable_missing": "SELECT DISTINCT timestamp_ns FROM (SELECT min_timestamp_ns AS timestamp_ns FROM sstables UNION ALL SELECT max_timestamp_ns FROM sstables) d WHERE NOT EXISTS (SELECT 1 FROM run_entries e WHERE e.timestamp_ns = d.timestamp_ns)",
+        "q_durable_missing": "SELECT DISTINCT timestamp_ns FROM run_entries d WHERE NOT EXISTS (SELECT 1 FROM run_entries e JOIN sstables s ON s.log_id = e.log_id AND s.run_id = e.run_id WHERE e.timestamp_ns = d.timestamp_ns)",
         "q_orphans": f"SELECT path AS name FROM ({catalog}) c WHERE NOT EXISTS (SELECT 1 FROM sstables s WHERE s.path = c.path)",
         "q_ingest_counters": f"SELECT CAST(count(*) FILTER (octet_length(data) <= {SMALL_LIMIT}) AS BIGINT) AS ingested, CAST(count(*) FILTER (octet_length(data) > {SMALL_LIMIT}) AS BIGINT) AS failed, CAST(coalesce(sum(octet_length(data)) FILTER (octet_length(data) <= {SMALL_LIMIT}), 0) AS BIGINT) AS bytes FROM {_DOCS}",
     }
