@@ -210,24 +210,39 @@ _COMPONENTS = ["component", "logger", "name", "module", "program", "service", "a
 _MESSAGES = ["msg", "message", "text", "event", "log"]
 
 
-def classify(counts: dict[tuple[str, str], int]) -> Keys:
-    """Keys of one form by kind, from summed key_features."""
-    total: dict[str, int] = Counter()
-    for (k, f), n in counts.items():
-        if f == "n" and k:
-            total[k] += n
+def key_kind(counts: dict[str, int]) -> str | None:
+    """What one key holds, from the counts of its features; None where it is nothing a record needs."""
+    n = counts.get("n", 0)
+    pure = lambda kind: n and counts.get(kind, 0) >= PURE * n
+    if pure("time"):
+        return "time"
+    if pure("level"):
+        return "level"
+    if pure("text") and counts.get("free", 0) > 0.3 * n:
+        return "message"
+    return "component" if pure("word") else None
+
+
+def arranged(kinds: Iterable[tuple[str, str, int]]) -> Keys:
+    """Keys of one form, given as (key, kind, lines), in order of preference."""
+    total: dict[str, dict[str, int]] = {"time": {}, "level": {}, "component": {}, "message": {}}
+    for key, kind, n in kinds:
+        total[kind][key] = n
 
-    def of(kind: str) -> list[str]:
-        return [k for k, n in total.items() if counts.get((k, kind), 0) >= PURE * n]
+    def ranked(kind: str, usual: Iterable[str] = ()) -> list[str]:
+        place = {name: i for i, name in enumerate(usual)}
+        return sorted(total[kind], key=lambda k: (place.get(k.lower(), len(place)), -total[kind][k], k))
 
-    def ranked(keys: list[str], usual: list[str]) -> list[str]:
-        return sorted(keys, key=lambda k: (usual.index(k.lower()) if k.lower() in usual else len(usual), -total[k], k))
+    return Keys(ranked("time"), ranked("level"), ranked("component", _COMPONENTS), ranked("message", _MESSAGES))
 
-    time, level = of("time"), of("level")
-    rest = [k for k in total if k not in time and k not in level]
-    free = [k for k in rest if counts.get((k, "text"), 0) >= PURE * total[k] and counts.get((k, "free"), 0) > 0.3 * total[k]]
-    words = [k for k in rest if k not in free and counts.get((k, "word"), 0) >= PURE * total[k]]
-    return Keys(sorted(time, key=lambda k: (-total[k], k)), sorted(level, key=lambda k: (-total[k], k)), ranked(words, _COMPONENTS), ranked(free, _MESSAGES))
+
+def classify(counts: dict[tuple[str, str], int]) -> Keys:
+    """Keys of one form by kind, from summed key_features."""
+    by: dict[str, dict[str, int]] = {}
+    for (k, f), n in counts.items():
+        if k:
+            by.setdefault(k, {})[f] = n
+    return arranged((k, kind, c["n"]) for k, c in by.items() if (kind := key_kind(c)))
 
 
 @dataclass

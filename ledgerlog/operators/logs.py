@@ -11,12 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut_lineage
-from .log_templates import Keys, Parser, Template, classify, cluster, head, key_features, structured, symbols, time_at
+from .log_templates import Keys, Parser, Template, arranged, cluster, head, key_features, key_kind, structured, symbols, time_at
 from .payload import origin_tag, split_tag
 
-#: Keys of structured lines that fewer than this share of the lines have are not classified.
-RARE = 0.001
-
 
 def _text_of(data: bytes | None) -> tuple[bytes, str]:
     tag, payload = split_tag(data or b"")
@@ -27,7 +24,8 @@ def mine(entries: DataFrame) -> tuple[list[Template], dict[str, Keys]]:
     """Templates and classified keys of all entries.
 
     Every batch clusters its own lines and hands on a few templates; those of one anchor (the symbols up to the time)
-    are merged in one group, and only the merged ones, a few per notation, come to the driver.
+    are merged in one group, and only the merged ones, a few per notation, come to the driver.  Keys of structured
+    lines are classified where they are counted, however rare; only the names of those that a record needs come.
     """
 
     def run(batches):
@@ -50,16 +48,21 @@ def mine(entries: DataFrame) -> tuple[list[Template], dict[str, Keys]]:
         merged = cluster(Template.loads(r.value, int(r.n)) for r in frame.itertuples())
         return pd.DataFrame([(t.dumps(), t.count) for t in merged], columns=["value", "n"])
 
+    def kinds(batches):
+        for batch in batches:
+            names, each = batch.select(["form", "key"]), [dict(c) for c in batch.column("counts").to_pylist()]
+            kind = pa.array([key_kind(c) for c in each], pa.string())
+            out = pa.RecordBatch.from_arrays([*names.columns, kind, pa.array([c.get("n", 0) for c in each], pa.int64())], names=["form", "key", "kind", "n"])
+            yield out.filter(kind.is_valid())
+
     partial = entries.select(F.col("data").cast("binary")).mapInArrow(run, "form string, key string, value string, n bigint").groupBy("form", "key", "value").agg(F.sum("n").alias("n"))
     partial = cut_lineage(partial)  # a few rows a batch, read twice
     templates = partial.where("form = 'template'").groupBy("key").applyInPandas(merge, "value string, n bigint").collect()
-    counts = partial.where("form <> 'template'")
-    lines = counts.where("key = '' and value = 'n'").select("form", F.col("n").alias("all"))
-    known = counts.join(lines, "form").withColumn("of", F.max(F.when(F.col("value") == "n", F.col("n"))).over(Window.partitionBy("form", "key"))).where(F.col("of") >= RARE * F.col("all"))
-    by: dict[str, dict] = {}
-    for r in known.collect():
-        by.setdefault(r.form, {})[(r.key, r.value)] = r.n
-    return [Template.loads(r.value, r.n) for r in templates], {form: classify(c) for form, c in by.items()}
+    counts = partial.where("form <> 'template' and key <> ''").groupBy("form", "key").agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("counts"))  # six at most
+    by: dict[str, list] = {}
+    for r in counts.mapInArrow(kinds, "form string, key string, kind string, n bigint").collect():
+        by.setdefault(r.form, []).append((r.key, r.kind, r.n))
+    return [Template.loads(r.value, r.n) for r in templates], {form: arranged(k) for form, k in by.items()}
 
 
 def _pieces(entries: DataFrame, parser: Parser) -> DataFrame:

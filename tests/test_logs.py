@@ -180,3 +180,14 @@ def test_report_names_the_layouts(spark):
     got = [tuple(r) for r in logs.layouts(spark.createDataFrame(make(lines), SCHEMA)).collect()]
     assert got == [("<priority><time:syslog> <word> <word>: ", "<number> [ ]", 2 * len(WORDS)), ("json time=when level=sev message=said", "", None)]
     assert logs.layouts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_keys_of_rare_layouts_are_kept(spark):
+    usual = [(i, NS + i, '[a] {"ts": 17670%08d, "level": "info", "logger": "l", "msg": "said it %d"}' % (i, i)) for i in range(6000)]
+    rare = [(10_000 + i, NS + 1000 * i, '[a] {"when": 176705668108%d, "sev": "warn", "who": "pump", "said": "two words %d"}' % (i, i)) for i in range(5)]
+    usual += [(20_000 + i, NS + i, '[b] ts=17670%08d level=info msg="said it %d"' % (i, i)) for i in range(6000)]
+    rare += [(30_000 + i, NS + 1000 * i, '[b] when=176705668108%d sev=warn who=pump said="two words %d"' % (i, i)) for i in range(5)]
+    got = {r.entry_id: tuple(r)[1:] for r in logs.records(spark.createDataFrame(make(usual + rare), SCHEMA)).collect()}
+    assert len(got) == 12_010
+    for first in (10_000, 30_000):
+        assert [got[first + i] for i in range(5)] == [(1767056681080000 + 1000 * i, "WARN", "pump", f"two words {i}") for i in range(5)]
