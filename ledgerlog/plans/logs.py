@@ -2,12 +2,14 @@
 
 Logs: ``events`` (timestamp from ts, data from props), ``documents`` (a millisecond per doc_id, data from text, null
 texts being no entry), ``lineitem`` (many equal clocks) and the runs of ``run_entries``.  Binary columns are shown as
-hexadecimal text.
+hexadecimal text.  Bytes that are no UTF-8 are rendered over all tables of raw entries; SQL has no counterpart, so
+``q_text_lossy`` and ``q_csv_invalid_utf8`` hold the same expressions against literals.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +100,21 @@ def q_csv_invalid_utf8(spark, folder):
     return _fixture(spark).select("timestamp_ns", render.csv_line().alias("line"))
 
 
+def _raw_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """The entries of all tables whose data are bytes of any kind."""
+    names = ("csv_entries", "txn_entries", "log_entries", "run_entries")
+    each = [table(spark, folder, n).select(F.lit(n).alias("source"), "entry_id", "timestamp_ns", "data") for n in names]
+    return reduce(DataFrame.unionByName, each)
+
+
+def q_text_lossy_entries(spark, folder):
+    return _raw_entries(spark, folder).select("source", "entry_id", "timestamp_ns", render.lossy_text().alias("line"))
+
+
+def q_csv_invalid_utf8_entries(spark, folder):
+    return _raw_entries(spark, folder).select("source", "entry_id", "timestamp_ns", render.csv_line().alias("line"))
+
+
 def q_trim_tag(spark, folder):
     texts = table(spark, folder, "documents").where("text is not null")
     return texts.select("doc_id", F.hex(tagged("file:documents", "text")).alias("data_hex"))
@@ -186,7 +203,7 @@ def q_ingest_counters(spark, folder):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
-        q_scan_all, q_time_range, q_range_from_only, q_range_to_only, q_to_second_rounding, q_limit_first_n, q_get_hit, q_text_lossy, q_csv_invalid_utf8, q_trim_tag, q_entry_size, q_oversize,
+        q_scan_all, q_time_range, q_range_from_only, q_range_to_only, q_to_second_rounding, q_limit_first_n, q_get_hit, q_text_lossy, q_csv_invalid_utf8, q_text_lossy_entries, q_csv_invalid_utf8_entries, q_trim_tag, q_entry_size, q_oversize,
         q_merge_runs, q_compact_dedup, q_monotonic_ts, q_flush_segments, q_segment_catalog, q_prune_runs, q_stats, q_storage_stats, q_whole_bounds, q_replay_tail, q_durable_missing, q_orphans, q_ingest_counters,
     ]
     formats = {f"q_format_{k.value}{end}": _format(k, log) for k in OutputFormat for end, log in (("", events_log), ("_docs", documents_log))}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ledgerlog import model
 from ledgerlog.functions import render
 from ledgerlog.model import OutputFormat
+from ledgerlog.plans import logs
 from ledgerlog.sources.lines import tagged, trim_bytes, trim_line_ends
 
 AT = 1_769_688_000_000_000_000
@@ -59,3 +60,25 @@ def test_trimming(spark, log_of, raw, trimmed):
 def test_names_and_sizes(spark, log_of):
     row = log_of([(1000, b"abc")]).select(model.sorted_run_name("timestamp_ns", F.lit(100000)).alias("run"), model.segment_name("timestamp_ns").alias("segment"), model.entry_size().alias("size"), model.fits("data", 2).alias("fits")).first()
     assert tuple(row) == ("00000000000003e8_00000000000186a0.sst", "00000000000003e8.wal", 11, False)
+
+
+MALFORMED = [b"", "café".encode(), b"\xff\xfea", b"\xf0\x9f\x98", b"\xe2\x82", b"\xc0\x80x", b"\xed\xa0\x80", b"plain", b'a "b"', b"\x00\xff\x80", b"\xde\xad\xbe\xef"]
+
+
+def test_bytes_of_any_kind_are_rendered_over_whole_tables(spark, tmp_path):
+    names = ["csv_entries", "log_entries", "run_entries", "txn_entries"]
+    for k, n in enumerate(names):
+        rows = [(i, AT, d + b"%d" % k) for i, d in enumerate(MALFORMED)]
+        spark.createDataFrame([*rows, (99, AT, None)], "entry_id long, timestamp_ns long, data binary").write.parquet(str(tmp_path / f"{n}.parquet"))
+
+    def csv(data):
+        try:
+            return data.decode().replace('"', '""')
+        except UnicodeDecodeError:
+            return f"[hex:{data.hex()}]"
+
+    cases = {(n, i): d + b"%d" % k for k, n in enumerate(names) for i, d in enumerate(MALFORMED)}
+    nothing = {(n, 99): None for n in names}
+    got = lambda q: {(r.source, r.entry_id): r.line for r in logs.queries()[q](spark, str(tmp_path)).collect()}
+    assert got("q_text_lossy_entries") == {at: d.decode("utf-8", "replace") for at, d in cases.items()} | nothing
+    assert got("q_csv_invalid_utf8_entries") == {at: f'"{STAMP}","{csv(d)}"' for at, d in cases.items()} | nothing
