@@ -109,8 +109,19 @@ def _changed(entries: DataFrame, files: DataFrame) -> DataFrame:
     return both.where(as_set("was") != as_set("now"))
 
 
+def _value_at(value: object, path: list[str]) -> object:
+    for name in path:
+        if not isinstance(value, dict):
+            return None
+        value = value.get(name)
+    return value
+
+
 def _profiles(entries: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(file_id, profile): profile is an array of (name, feature, n) of the ``wanted`` (file_id, names) fields."""
+    """(file_id, profile): profile is an array of (name, feature, n) of the ``wanted`` (file_id, names) fields.
+
+    Names are full paths.
+    """
 
     def run(batches):
         for batch in batches:
@@ -121,7 +132,7 @@ def _profiles(entries: DataFrame, wanted: DataFrame) -> DataFrame:
                     continue
                 for name in names:
                     counts[(file, name, "of")] += 1
-                    if (x := value.get(name)) is not None:
+                    if (x := _value_at(value, name.split(_SEP))) is not None:
                         for feature in value_features(x):
                             counts[(file, name, feature)] += 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.int64()), pa.array([k[1] for k in counts], pa.string()), pa.array([k[2] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["file_id", "name", "feature", "n"])
@@ -173,14 +184,15 @@ def changes(entries: DataFrame, files: DataFrame) -> DataFrame:
     file_id, feed and file_seq.  ``change`` is added, removed, renamed, retyped or moved, with '' for a missing
     side; depth 1 is a top-level field, names of deeper ones are joined by dots.  Null and repeated rows, empty
     files (an empty schema) and extra columns are allowed.  Values are profiled only in files where some field goes
-    while another of its JSON kind comes: elsewhere nothing can be a rename.
+    while another of its JSON kind comes, at any depth: elsewhere nothing can be a rename.
     """
     changed = cut_lineage(_changed(entries, files))  # one row per changed file; it is used three times
-    top = lambda c: F.filter(F.map_entries(c), lambda e: ~F.contains(e["key"], F.lit(_SEP)))
-    names = changed.withColumns({"a": top("was"), "b": top("now")})
+    # path, kind and parent; a nested field can be renamed below its own parent or one that is renamed or moved itself
+    each = lambda c: F.transform(F.map_entries(c), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.regexp_replace(e["key"], f"{_SEP}?[^{_SEP}]*$", "").alias("above")))
+    names = changed.withColumns({"a": each(F.col("was")), "b": each(F.col("now"))})
     missing = lambda x, y: F.filter(x, lambda e: ~F.exists(y, lambda o: o["key"] == e["key"]))
     names = names.withColumns({"gone": missing(F.col("a"), F.col("b")), "come": missing(F.col("b"), F.col("a"))})
-    alike = lambda x, y: F.filter(x, lambda e: F.exists(y, lambda o: o["value"] == e["value"]))
+    alike = lambda x, y: F.filter(x, lambda e: F.exists(y, lambda o: (o["value"] == e["value"]) & ((o["above"] == e["above"]) | ((o["above"] != "") & (e["above"] != "")))))
     keys = lambda c: F.transform(c, lambda e: e["key"])
     names = names.withColumns({"went": keys(alike(F.col("gone"), F.col("come"))), "came": keys(alike(F.col("come"), F.col("gone")))}).where("size(went) > 0")
     wanted = names.select("file_id", F.col("came").alias("names")).unionByName(names.select(F.col("previous").alias("file_id"), F.col("went").alias("names")))

@@ -1,9 +1,10 @@
 """Tree edit distance between nested schemas, with profiles of the values the fields hold.
 
 A schema is an unordered tree: fields below the object, nested fields below their field.  The minimum-cost script
-adds, deletes, renames, retypes and moves fields.  Children of matched nodes are assigned to each other at minimum
-cost (constrained edit distance of unordered trees, with an exact assignment), and every pair's cost holds the
-distance of their subtrees and of their values.
+adds, deletes, renames, retypes and moves fields.  What differs below matched nodes is assigned to each other at
+minimum cost, renames and moves in one table (constrained edit distance of unordered trees; the assignment is exact in
+each round, and each round matches what lies below the last one's pairs), and every pair's cost holds the distance of
+their subtrees and of their values.
 """
 
 from __future__ import annotations
@@ -183,48 +184,103 @@ def _rename_cost(a: Node, b: Node) -> float:
     return 0.3 + far + 0.2 * abs(fa - fb) + 0.1 * name + 0.1 * script(a, b)[0]
 
 
+@dataclass(eq=False)
+class _Loose:
+    """A field that only one of two matched parents has; ``parents`` is the number of that pair, -1 inside such a field.
+
+    ``share`` is 0 below a rename or a move, whose cost holds it already.
+    """
+
+    node: Node
+    path: tuple[str, ...]
+    parents: int
+    share: int
+
+
+def _pair_cost(a: _Loose, b: _Loose) -> float:
+    """A rename between matched parents, a move between others."""
+    if a.parents == b.parents:
+        return _rename_cost(a.node, b.node)
+    if a.node.name != b.node.name or a.node.kind != b.node.kind:
+        return math.inf
+    return MOVE + script(a.node, b.node)[0]
+
+
+def _matched(gone: list[_Loose], come: list[_Loose]) -> list[tuple[_Loose, _Loose, float]]:
+    """The renames and moves of the cheapest assignment, all parents at once, with their costs."""
+    if not gone or not come:
+        return []
+    big = 1e6
+    drop, put = [DELETE * g.node.size() for g in gone], [ADD * c.node.size() for c in come]
+    costs = [[_pair_cost(g, c) for c in come] for g in gone]
+    table = [[min(big, x - put[j]) for j, x in enumerate(line)] + [drop[i] if k == i else big for k in range(len(gone))] for i, line in enumerate(costs)]
+    return [(gone[i], come[j], costs[i][j]) for i, j in enumerate(_assign(table)) if j < len(come) and table[i][j] < drop[i]]
+
+
+def _below(x: _Loose) -> list[_Loose]:
+    """A field and all below it, each before those below it."""
+    return [x] + [y for name in sorted(x.node.children) for y in _below(_Loose(x.node.children[name], (*x.path, name), -1, x.share))]
+
+
 def script(old: Node, new: Node, path: tuple[str, ...] = ()) -> tuple[float, list[Edit]]:
-    """Cost and edits that turn the fields below ``old`` into those below ``new``."""
+    """Cost and edits that turn the fields below ``old`` into those below ``new``.
+
+    Fields of one name and place are matched; all others, of every depth, are assigned to each other in one table of
+    renames, moves, removes and adds.  What lies below a rename or a move joins the next round, and last the fields
+    inside removed ones are moved into their place in added ones.  Below a renamed field paths have its new name.
+    """
     cost, edits = 0.0, []
-    for name in old.children.keys() & new.children.keys():
-        a, b = old.children[name], new.children[name]
-        if a.kind != b.kind:
-            cost += RETYPE
-            edits.append(Edit("retyped", (*path, name), (*path, name)))
-        deeper = script(a, b, (*path, name)) if a.kind == b.kind else (0.0, [])
-        cost += deeper[0]
-        edits += deeper[1]
-    gone = sorted(old.children.keys() - new.children.keys())
-    come = sorted(new.children.keys() - old.children.keys())
-    pairs = {}
-    if gone and come:
-        rows, columns = len(gone), len(come)
-        drop, put = [DELETE * old.children[g].size() for g in gone], [ADD * new.children[c].size() for c in come]
-        big = 1e6
-        table = []
-        for i, g in enumerate(gone):
-            line = [min(big, _rename_cost(old.children[g], new.children[c]) - put[j]) for j, c in enumerate(come)]
-            table.append(line + [drop[i] if k == i else big for k in range(rows)])
-        for i, j in enumerate(_assign(table)):
-            if j < columns and table[i][j] < drop[i]:
-                pairs[gone[i]] = come[j]
-    for g, c in pairs.items():
-        cost += _rename_cost(old.children[g], new.children[c])
-        edits.append(Edit("renamed", (*path, g), (*path, c)))
-        edits += script(old.children[g], new.children[c], (*path, c))[1]
-    for g in gone:
-        if g not in pairs:
-            cost += DELETE * old.children[g].size()
-            edits.append(Edit("removed", (*path, g), ()))
-    for c in come:
-        if c not in pairs.values():
-            cost += ADD * new.children[c].size()
-            edits.append(Edit("added", (), (*path, c)))
+    gone: list[_Loose] = []
+    come: list[_Loose] = []
+    parents = 0
+
+    def walk(a: Node, b: Node, path: tuple[str, ...], share: int) -> None:
+        nonlocal cost, parents
+        parents += 1
+        for side, x, y in ((gone, a, b), (come, b, a)):
+            side.extend(_Loose(x.children[name], (*path, name), parents, share) for name in sorted(x.children.keys() - y.children.keys()))
+        for name in sorted(a.children.keys() & b.children.keys()):
+            x, y = a.children[name], b.children[name]
+            if x.kind != y.kind:
+                cost += RETYPE * share
+                edits.append(Edit("retyped", (*path, name), (*path, name)))
+            else:
+                walk(x, y, (*path, name), share)
+
+    walk(old, new, path, 1)
+    while pairs := _matched(gone, come):
+        for g, c, x in pairs:
+            gone.remove(g)
+            come.remove(c)
+            cost += x
+            edits.append(Edit("renamed" if g.parents == c.parents else "moved", g.path, c.path))
+        for g, c, _ in pairs:
+            walk(g.node, c.node, c.path, 0)
+    drop = lambda g: DELETE * g.node.size() * g.share
+    put = lambda c: ADD * c.node.size() * c.share
+    cost += sum(map(drop, gone)) + sum(map(put, come))
+    edits += [Edit("removed", g.path, ()) for g in gone] + [Edit("added", (), c.path) for c in come]
+    targets = [y for c in come for y in _below(c)]
+    within = lambda path, above: path[: len(above)] == above
+    out: tuple[str, ...] | None = None
+    for g in [y for x in gone for y in _below(x)]:
+        if out is not None and within(g.path, out):
+            continue  # it goes along
+        twin = next((c for c in targets if c.node.name == g.node.name and c.node.kind == g.node.kind and (g.parents < 0 or c.parents < 0)), None)
+        if twin is None:
+            continue
+        rest, deeper = script(g.node, twin.node, twin.path)
+        if MOVE + rest >= DELETE * g.node.size() + ADD * twin.node.size():
+            continue
+        out = g.path
+        targets = [c for c in targets if not within(c.path, twin.path) and not within(twin.path, c.path)]
+        cost += MOVE + rest - drop(g) - put(twin)
+        edits = [e for e in edits if e not in (Edit("removed", g.path, ()), Edit("added", (), twin.path))] + [Edit("moved", g.path, twin.path), *deeper]
     return cost, edits
 
 
 def with_moves(edits: list[Edit], old: Node, new: Node) -> list[Edit]:
-    """Fields that go at one depth and come, under the same name and kind, at another are moved."""
+    """Fields that go in one place and come, under the same name and kind, in another are moved."""
 
     def at(node: Node, path: tuple[str, ...]) -> Node | None:
         for p in path:
@@ -236,7 +292,7 @@ def with_moves(edits: list[Edit], old: Node, new: Node) -> list[Edit]:
     come = [e for e in edits if e.op == "added"]
     for e in edits:
         if e.op == "removed":
-            twin = next((c for c in come if c not in taken and c.new[-1] == e.old[-1] and len(c.new) != len(e.old) and (x := at(old, e.old)) and (y := at(new, c.new)) and x.kind == y.kind), None)
+            twin = next((c for c in come if c not in taken and c.new[-1] == e.old[-1] and c.new != e.old and (x := at(old, e.old)) and (y := at(new, c.new)) and x.kind == y.kind), None)
             if twin:
                 taken.add(twin)
                 out.append(Edit("moved", e.old, twin.new))

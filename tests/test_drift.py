@@ -146,3 +146,26 @@ def test_canonical_names_keep_fields_that_stand_together_apart():
 
 def test_edits_are_values():
     assert Edit("added", (), ("x",)) == Edit("added", (), ("x",))
+
+
+def test_moves_are_part_of_the_cost():
+    a = node({"a": {"x": "string"}, "b": {"y": "integer"}})
+    b = node({"a": {}, "b": {"y": "integer", "x": "string"}})
+    for side in (a, b):
+        side.children["a"].kind = side.children["b"].kind = "object"
+    assert script(a, b) == (0.5, [Edit("moved", ("a", "x"), ("b", "x"))])
+
+
+def test_what_lies_in_removed_fields_can_move():
+    a, b = node({"meta": {"os": "string", "n": "integer"}}), node({"os": "string"})
+    a.children["meta"].kind = "object"
+    assert edits(a, b) == [("moved", "meta.os", "os"), ("removed", "meta", "")] and script(a, b)[0] == 2.5
+
+
+def test_nested_renames_and_moves(spark):
+    old = [{"id": i, "meta": {"os": f"V-{i:04d}", "deep": {"code": f"{i}/{i}/x"}}, "a": {"x": True}, "b": {"y": i}} for i in range(20)]
+    new = [{"id": i, "meta": {"platform": f"V-{i:04d}", "deep": {"ref": f"{i}/{i}/x"}}, "a": {}, "b": {"y": i, "x": True}} for i in range(20, 40)]
+    entries = spark.createDataFrame(rows([(1, p) for p in old] + [(2, p) for p in new]), ENTRIES)
+    files = spark.createDataFrame([(1, "f", 1, None, 0, 0), (2, "f", 2, None, 0, 0)], FILES)
+    assert sorted(tuple(r) for r in drift.changes(entries, files).collect()) == [(2, "moved", "a.x", "b.x", 2), (2, "renamed", "meta.deep.code", "meta.deep.ref", 3), (2, "renamed", "meta.os", "meta.platform", 2)]
+    assert drift.top_level_changes(entries, files).count() == 0
