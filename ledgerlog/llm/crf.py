@@ -36,8 +36,9 @@ def fit(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, steps: in
     n, longest, width = x.shape
     seen = np.eye(2)[y] * mask[..., None]
     both = mask[:, 1:]
-    seen_emit = np.einsum("ntf,ntk->fk", x, seen)
-    seen_move = np.einsum("nti,ntj->ij", seen[:, :-1] * both[..., None], seen[:, 1:])
+    flat = x.reshape(-1, width).T
+    seen_emit = flat @ seen.reshape(-1, 2)
+    seen_move = (seen[:, :-1] * both[..., None]).reshape(-1, 2).T @ seen[:, 1:].reshape(-1, 2)
     theta = np.zeros(2 * width + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     total = max(1, int(mask.sum()))
@@ -55,7 +56,7 @@ def fit(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, steps: in
         z = np.logaddexp(ahead[:, -1, 0], ahead[:, -1, 1])
         one = np.exp(ahead + behind - z[:, None, None]) * mask[..., None]
         two = np.exp(ahead[:, :-1, :, None] + move + (score + behind)[:, 1:, None, :] - z[:, None, None, None]) * both[..., None, None]
-        grad = np.concatenate([(seen_emit - np.einsum("ntf,ntk->fk", x, one)).ravel(), (seen_move - two.sum((0, 1))).ravel()]) / total - ridge * theta
+        grad = np.concatenate([(seen_emit - flat @ one.reshape(-1, 2)).ravel(), (seen_move - two.sum((0, 1))).ravel()]) / total - ridge * theta
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return Chain(theta[: 2 * width].reshape(width, 2), theta[2 * width :].reshape(2, 2))

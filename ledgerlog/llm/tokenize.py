@@ -23,12 +23,25 @@ def _text_blocks(column: pa.Array):
         yield a, b, (b"" if data is None else memoryview(data)[offsets[0] : offsets[-1]].tobytes()), lengths[a:b]
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` in as many tasks as there are cores, if they lie in fewer files than that and are cut into few pieces.
+
+    A file of one row group is one task's work, however it is cut.  Large tables have more pieces than that, and stay
+    as they are: nothing is moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows._jdf.rdd().getNumPartitions() <= 2 * cores and len(rows.inputFiles()) < cores:
+        return rows.repartition(cores)
+    return rows
+
+
 def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = bpe.DEFAULT_VOCABULARY) -> DataFrame:
     """(``id_col``, ids ARRAY<INT>): one row per input row, without special tokens.
 
     An empty or null text gives an empty list, and a text that spells a special token is ordinary text.  A null id
     stays null, repeated rows are encoded each, an empty table gives an empty one; other columns are not read, so
-    their names can't clash.  Whole texts of any length: long ones make a block of their own.  No shuffle.
+    their names can't clash.  Whole texts of any length: long ones make a block of their own.  No shuffle, unless the
+    table lies in fewer pieces than there are cores.
     """
     id_type = documents.schema[id_col].dataType.simpleString()
 
@@ -43,7 +56,7 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([keys.slice(a, b - a), lists], names=["id", "ids"])
 
-    picked = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = spread(documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")))
     return picked.mapInArrow(run, f"id {id_type}, ids array<int>").select(F.col("id").alias(id_col), "ids")
 
 
@@ -58,6 +71,6 @@ def count_tokens(documents: DataFrame, text_col: str = "text", vocabulary: str =
             total = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(keep))), pa.array(total, pa.int64())], names=[*(f"k{i}" for i in range(len(keep))), "tokens"])
 
-    picked = documents.select(F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    picked = spread(documents.select(F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep))))
     schema = (fields + ", " if fields else "") + "tokens bigint"
     return picked.mapInArrow(run, schema).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "tokens")

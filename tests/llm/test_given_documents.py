@@ -32,12 +32,12 @@ def unspaced(c):
 
 
 def share(text):
-    """The definition, read plainly: words count two, letters of unspaced scripts one, a passage twelve."""
+    """The definition, read plainly: words count two, letters of unspaced scripts, and of runs longer than any word, one, a passage twelve."""
     found = []
     for m in re.finditer(r"[^\W\d_]+", re.sub(r"[­​-‏﻿]", "", text).lower()):
         start = 0
         for k, c in enumerate(m[0] + " "):
-            if c == " " or unspaced(c):
+            if c == " " or unspaced(c) or len(m[0]) > repetition.LONGEST_WORD:
                 if k > start:
                     found.append((m[0][start:k], 2))
                 if c != " ":

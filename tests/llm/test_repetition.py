@@ -44,8 +44,7 @@ def brute(text, spaced_words=True):
 
 
 def exact(texts):
-    codes, starts = rep._codes(texts)
-    return rep.analyse(codes, starts)["exact"]
+    return rep.exact_share(rep.words_of(*rep._codes(texts)))
 
 
 def test_exact_share_is_the_definition():
@@ -76,6 +75,7 @@ def test_case_spacing_punctuation_and_digits_make_no_difference():
 
 def test_something_short_said_over_and_over():
     assert exact(["spam " * 100])[0] > 0.9 and exact(["ha ha ha ha"])[0] == 0 and exact(["漢" * 100])[0] > 0.85
+    assert exact(["Before it. " + "wheel" * 60])[0] > 0.8 and exact(["electroencephalography"] * 2).max() == 0
 
 
 def test_viterbi_is_the_best_of_all_labellings():
@@ -124,7 +124,34 @@ def test_held_out_accuracy():
     cases = [(held_out(rng, r, s), r) for r in (True, False) for s in (True, False) for _ in range(40)]
     codes, starts = rep._codes([t for t, _ in cases])
     decoded, measured = rep.decode(chain, codes, starts)
-    assert ((decoded > rep.LIMIT) == [r for _, r in cases]).mean() == 1.0 and ((measured > rep.LIMIT) == [r for _, r in cases]).all()
+    assert ((decoded > rep.LIMIT) == [r for _, r in cases]).mean() == 1.0 and ((measured > 0.4) == [r for _, r in cases]).all()
+
+
+def test_words_without_blanks_said_over_and_over_are_found():
+    rng = random.Random(12)
+    chain = rep.train([spaced(rng, 25) for _ in range(60)])
+    texts = [spaced(rng, 12) + " " + word * 400 for word in ("wheel", "reservoir", "spool")] + [spaced(rng, 12) + " " + "".join(rng.choice("acgt") for _ in range(2500))]
+    decoded, _ = rep.decode(chain, *rep._codes(texts))
+    assert (decoded > rep.LIMIT).tolist() == [True, True, True, False]
+
+
+def test_the_field_decides(spark):
+    """Another field gives other rows: the exact share takes no part."""
+    rng = random.Random(13)
+    df = spark.createDataFrame([(1, spaced(rng, 20)), (2, spaced(rng, 5) + " " + sentence(rng) * 30)], "doc_id long, text string")
+    chain = rep.train([spaced(rng, 25) for _ in range(60)])
+    assert [r.doc_id for r in rep.repetitive(df, chain=chain).collect()] == [2]
+    none, all_ = (crf.Chain(np.vstack([[a, b], np.zeros((rep.FEATURES - 1, 2))]), np.zeros((2, 2))) for a, b in ((5.0, -5.0), (-5.0, 5.0)))
+    assert rep.repetitive(df, chain=none).count() == 0 and rep.repetitive(df, chain=all_).count() == 2
+
+
+def test_planted_pieces_are_the_labels():
+    rng, random_ = random.Random(14), np.random.default_rng(3)
+    for _ in range(30):
+        parts = rep._planted(spaced(rng, 12), random_)
+        assert parts[0][1] == 0
+        assert sum(not y for _, y in parts) >= 12
+    assert rep._planted("too short.", random_) == []
 
 
 def test_a_phrase_in_every_sentence_is_found_too():
@@ -134,7 +161,7 @@ def test_a_phrase_in_every_sentence_is_found_too():
     texts = [" ".join(f"{phrase} {' '.join(rng.choice(VOCABULARY) for _ in range(n))}." for _ in range(40)) for n in (6, 30)]
     codes, starts = rep._codes(texts)
     decoded, measured = rep.decode(chain, codes, starts)
-    assert measured[0] > 0.5 and decoded[0] > rep.LIMIT and measured[1] < 0.25 and abs(decoded[1] - measured[1]) < 0.15
+    assert measured[0] > 0.5 and decoded[0] > rep.LIMIT and measured[1] < 0.25 and decoded[1] < rep.LIMIT
 
 
 def test_operator_on_odd_rows(spark):
