@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import Folder
 from .lineage import cut_lineage
 
 #: Saves of a block, and blocks of a group of blocks: arrays that are looked through have this length at most.
@@ -25,16 +28,25 @@ def committed_saves(manifests: DataFrame) -> DataFrame:
     return good.groupBy("log_id", F.col("manifest_seq").alias("seq")).agg(F.max("checkpoint_timestamp_ns").alias("checkpoint"))
 
 
-def contents(entries: DataFrame, runs: DataFrame) -> DataFrame:
-    """(log_id, timestamp_ns, data, added, copies): one row per content of the visible runs.
+def arrived(entries: DataFrame, runs: DataFrame) -> DataFrame:
+    """(log_id, timestamp_ns, digest, added, entry_id) of the entries of visible runs.
+
+    The digest (SHA-256) stands for the data before anything is moved, so payloads stay where they are.  A null data
+    is a content of its own.
+    """
+    digest = F.unhex(F.coalesce(F.sha2("data", 256), F.lit("")))
+    seen = entries.where("log_id is not null and timestamp_ns is not null").select("log_id", "run_id", "entry_id", "timestamp_ns", digest.alias("digest"))
+    return seen.join(runs.select("log_id", "run_id", "added"), ["log_id", "run_id"]).select("log_id", "timestamp_ns", "digest", "added", "entry_id")
+
+
+def contents(rows: DataFrame) -> DataFrame:
+    """(log_id, timestamp_ns, digest, added, copies): one row per content of what has arrived.
 
     ``copies`` has, for each save that added copies of it, the smallest entry id: at most one element per save of
     the log, however many copies there are, because they are counted down before they are gathered.
     """
-    seen = entries.where("log_id is not null and timestamp_ns is not null").select("log_id", "run_id", "entry_id", "timestamp_ns", F.coalesce("data", F.lit(b"")).alias("data"), F.col("data").isNull().alias("absent"))
-    each = seen.join(runs, ["log_id", "run_id"]).groupBy("log_id", "timestamp_ns", "data", "absent", "added").agg(F.min("entry_id").alias("entry_id"))
-    gathered = each.groupBy("log_id", "timestamp_ns", "data", "absent").agg(F.min("added").alias("added"), F.collect_list(F.struct("added", "entry_id")).alias("copies"))
-    return gathered
+    each = rows.groupBy("log_id", "timestamp_ns", "digest", "added").agg(F.min("entry_id").alias("entry_id"))
+    return each.groupBy("log_id", "timestamp_ns", "digest").agg(F.min("added").alias("added"), F.collect_list(F.struct("added", "entry_id")).alias("copies"))
 
 
 def _first(array: str, test) -> Column:
@@ -74,84 +86,166 @@ def processed(entries: DataFrame, sstables: DataFrame, manifests: DataFrame) ->
     Entries of a log with equal timestamp and data are one content; it is processed once, by the first committed
     save at which a run with it is visible and whose checkpoint is not below its timestamp; its smallest entry id
     visible at that save stands for it.  Rows without log or timestamp, runs without a save and saves without a
-    checkpoint take no part; a null data is a content of its own.
+    checkpoint take no part; a null data is a content of its own.  Data are compared by their SHA-256.
     """
-    all_ = assign(contents(entries, visible_runs(sstables)).drop("data", "absent"), committed_saves(manifests))
+    all_ = assign(contents(arrived(entries, visible_runs(sstables))).drop("digest"), committed_saves(manifests))
     return all_.where("seq is not null").select("log_id", F.col("seq").alias("manifest_seq"), _smallest_visible().alias("entry_id"))
 
 
-_OUTPUT = "log_id bigint, manifest_seq bigint, entry_id bigint, timestamp_ns bigint, digest string"
-_BACKLOG = "log_id bigint, timestamp_ns bigint, added bigint, copies array<struct<added:bigint,entry_id:bigint>>, digest string"
+_OUTPUT = "log_id bigint, manifest_seq bigint, entry_id bigint, timestamp_ns bigint, digest binary"
+_BACKLOG = "log_id bigint, timestamp_ns bigint, added bigint, copies array<struct<added:bigint,entry_id:bigint>>, digest binary"
 _WATERMARK = "log_id bigint, mark bigint"
-_PLACED = "log_id bigint, timestamp_ns bigint, since bigint, copies array<struct<added:bigint,entry_id:bigint>>, digest string, seq bigint"
+_PLACED = "log_id bigint, timestamp_ns bigint, since bigint, copies array<struct<added:bigint,entry_id:bigint>>, digest binary, seq bigint"
+_ARRIVED = "log_id bigint, timestamp_ns bigint, digest binary, added bigint, entry_id bigint"
+#: Outputs of so many runs are brought together into one.
+OUTPUTS = 8
 
 
 class IncrementalJob:
     """Processes, run by run, what is new or changed since the last successful run.
 
     ``folder`` lies where all executors reach it.  A run fixes its upper limit (each log's last committed save) when
-    it starts, reads the runs added after the watermark and the backlog that no checkpoint had reached, and writes
-    the output, the new backlog and the new watermark into one staging folder, whose rename to `commit-N` is the
-    commit: a run that dies before it leaves nothing that a reader sees, and the next run does the same work again.
+    it starts, takes the runs added after the watermark and the backlog that no checkpoint had reached, and writes the
+    output, the new backlog and the new watermark under names of their own.  The commit is one small file,
+    `commits/v<N>.json`, that names them all; only one writer can make it, whole.  A run that dies before it leaves
+    nothing that a reader sees, and the next run does the same work again.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(self.folder))
+        self.spark, self.files = spark, Folder(spark, folder)
+        self.files.make("commits", "data")
 
     def commits(self) -> list[int]:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        return sorted(int(n.removeprefix("commit-")) for n in names if n.startswith("commit-"))
+        return sorted(int(n[1:-5]) for n in self.files.names("commits") if n.startswith("v") and n.endswith(".json"))
 
-    def _read(self, part: str, schema: str, numbers: list[int]) -> DataFrame:
-        if not numbers:
+    def _latest(self) -> dict:
+        done = self.commits()
+        return json.loads(self.files.read_text(f"commits/v{done[-1]:020d}.json")) if done else {"number": 0, "outputs": [], "backlog": [], "watermark": []}
+
+    def _read(self, schema: str, parts: list[str]) -> DataFrame:
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/commit-{n}/{part}" for n in numbers))
+        return self.spark.read.schema(schema).parquet(*map(self.files.uri, parts))
 
-    def _write(self, rows: DataFrame, path: str, schema: str) -> None:
+    def _write(self, rows: DataFrame, part: str, schema: str) -> str:
         kinds = dict(f.split(" ", 1) for f in schema.split(", "))
-        rows.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items())).write.parquet(path)
+        rows.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items())).write.parquet(self.files.uri(part))
+        return part
 
     def output(self) -> DataFrame:
         """(log_id, manifest_seq, entry_id) of all successful runs."""
-        return self._read("output", _OUTPUT, self.commits()).select("log_id", "manifest_seq", "entry_id")
+        return self._read(_OUTPUT, self._latest()["outputs"]).select("log_id", "manifest_seq", "entry_id")
 
     def run(self, entries: DataFrame, sstables: DataFrame, manifests: DataFrame, before_commit=None) -> int:
-        """One run; the number of its commit.  ``before_commit`` is called just before the rename (tests fail there)."""
-        done = self.commits()
-        last = done[-1] if done else 0
+        """One run over tables that hold at least what is new; the number of its commit."""
+        return self.run_arrived(arrived(entries, visible_runs(sstables)), manifests, before_commit)
+
+    def run_arrived(self, rows: DataFrame, manifests: DataFrame, before_commit=None) -> int:
+        """One run; ``rows`` are those of ``arrived`` that have come since the last run, and may hold older ones.
+
+        ``before_commit`` is called just before the commit (tests fail there).
+        """
+        latest = self._latest()
         saves = committed_saves(manifests)
         upper = saves.groupBy("log_id").agg(F.max("seq").alias("upper"))
-        known = self._read("watermark", _WATERMARK, done[-1:])
+        known = self._read(_WATERMARK, latest["watermark"])
         limits = upper.join(known, "log_id", "full").select("log_id", F.coalesce("mark", F.lit(0)).alias("mark"), F.coalesce("upper", "mark", F.lit(0)).alias("upper"))
-        runs = visible_runs(sstables).join(limits, "log_id").where("added > mark and added <= upper").select("log_id", "run_id", "added")
-        found = contents(entries, runs).withColumn("digest", F.when(F.col("absent"), F.lit("absent")).otherwise(F.sha2("data", 256))).drop("data", "absent")
-        if last:
-            old = self._read("backlog", _BACKLOG, [last])
+        limits = cut_lineage(limits)  # a row per log: the limits are fixed here
+        found = contents(rows.join(limits, "log_id").where("added > mark and added <= upper").select(*rows.columns))
+        if latest["number"]:
+            old = self._read(_BACKLOG, latest["backlog"])
             both = found.unionByName(old).groupBy("log_id", "timestamp_ns", "digest")
             found = both.agg(F.min("added").alias("added"), F.flatten(F.collect_list("copies")).alias("copies"))
             found = cut_lineage(found)
             span = found.agg(F.min("timestamp_ns").alias("low"), F.max("timestamp_ns").alias("high")).first()
-            before = self._read("output", _OUTPUT, done).select("log_id", "timestamp_ns", "digest")
+            before = self._read(_OUTPUT, latest["outputs"]).select("log_id", "timestamp_ns", "digest")
             if span.low is not None:  # of the history only the stretch that the new entries lie in is read
                 before = before.where(F.col("timestamp_ns").between(span.low, span.high))
             found = found.join(before, ["log_id", "timestamp_ns", "digest"], "left_anti")
         fresh = saves.join(limits, "log_id").where("seq > mark and seq <= upper").select("log_id", "seq", "checkpoint")
         searched = found.join(limits.select("log_id", "mark"), "log_id").withColumns({"since": F.col("added"), "added": F.greatest("added", F.col("mark") + 1)}).drop("mark")
-        placed = assign(searched, fresh)
-        stage = f"{self.folder}/staging-{uuid.uuid4().hex}"
-        self._write(placed, f"{stage}/placed", _PLACED)
-        placed = self.spark.read.schema(_PLACED).parquet(f"{stage}/placed")
-        self._write(placed.where("seq is not null").withColumns({"manifest_seq": F.col("seq"), "entry_id": _smallest_visible()}), f"{stage}/output", _OUTPUT)
-        self._write(placed.where("seq is null").withColumn("added", F.col("since")), f"{stage}/backlog", _BACKLOG)
-        self._write(limits.withColumn("mark", F.col("upper")), f"{stage}/watermark", _WATERMARK)
-        self._fs.delete(self._path(f"{stage}/placed"), True)
-        if before_commit:
-            before_commit()
-        if self._fs.exists(self._path(f"{self.folder}/commit-{last + 1}")) or not self._fs.rename(self._path(stage), self._path(f"{self.folder}/commit-{last + 1}")):
-            self._fs.delete(self._path(stage), True)
-            raise RuntimeError(f"another run made commit {last + 1} first")
-        return last + 1
+        stage = f"data/{uuid.uuid4().hex}"
+        try:
+            placed = self._read(_PLACED, [self._write(assign(searched, fresh), f"{stage}/placed", _PLACED)])
+            done = placed.where("seq is not null").withColumns({"manifest_seq": F.col("seq"), "entry_id": _smallest_visible()})
+            outputs = [*latest["outputs"], self._write(done.sortWithinPartitions("timestamp_ns"), f"{stage}/output", _OUTPUT)]
+            if len(outputs) >= OUTPUTS:  # sorted by time, so that a stretch of it can be read
+                outputs = [self._write(self._read(_OUTPUT, outputs).repartitionByRange("timestamp_ns").sortWithinPartitions("timestamp_ns"), f"{stage}/outputs", _OUTPUT)]
+            commit = {
+                "number": latest["number"] + 1,
+                "outputs": outputs,
+                "backlog": [self._write(placed.where("seq is null").withColumn("added", F.col("since")), f"{stage}/backlog", _BACKLOG)],
+                "watermark": [self._write(limits.withColumn("mark", F.col("upper")), f"{stage}/watermark", _WATERMARK)],
+            }
+            self.files.delete(f"{stage}/placed")
+            if before_commit:
+                before_commit()
+            if not self.files.publish(f"commits/v{commit['number']:020d}.json", json.dumps(commit)):
+                raise RuntimeError(f"another run made commit {commit['number']} first")
+        except BaseException:
+            if not self._names(stage):
+                self.files.delete(stage)
+            raise
+        return commit["number"]
+
+    def _names(self, stage: str) -> bool:
+        """Whether the last commit names what lies in a stage: then the run was committed, whatever came after."""
+        latest = self._latest()
+        return any(p.startswith(f"{stage}/") for k in ("outputs", "backlog", "watermark") for p in latest[k])
+
+    def vacuum(self) -> list[str]:
+        """Deletes what the last commit does not name; no other run may be under way."""
+        latest = self._latest()
+        used = {p.split("/")[1] for k in ("outputs", "backlog", "watermark") for p in latest[k]}
+        doomed = [n for n in self.files.names("data") if n not in used]
+        for name in doomed:
+            self.files.delete(f"data/{name}")
+        return doomed
+
+
+def landed(job: IncrementalJob, entries: DataFrame, sstables: DataFrame, manifests: DataFrame, steps: int) -> list[tuple[DataFrame, DataFrame]]:
+    """(arrived rows, manifests) of so many runs of the job over a recorded history, in order.
+
+    The recorded saves are cut into ``steps`` of consecutive numbers.  What each run of the job finds new lies in a folder of its own,
+    as it would have come in, so a run opens no file of the runs before it.
+    """
+    saves = committed_saves(manifests)
+    last = saves.agg(F.max("seq").alias("last")).first().last or 0
+    limits = [last * (k + 1) // steps for k in range(steps)]
+    uppers = saves.groupBy("log_id").agg(*(F.coalesce(F.max(F.when(F.col("seq") <= x, F.col("seq"))), F.lit(0)).alias(f"upper{k}") for k, x in enumerate(limits)))
+    rows = arrived(entries, visible_runs(sstables)).join(uppers, "log_id")
+    step = F.coalesce(*(F.when(F.col("added") <= F.col(f"upper{k}"), F.lit(k)) for k in range(steps)))
+    part = f"data/landed-{uuid.uuid4().hex}"
+    columns = [f.split(" ")[0] for f in _ARRIVED.split(", ")]
+    rows.withColumn("step", step).where("step is not null").select(*columns, "step").write.partitionBy("step").parquet(job.files.uri(part))
+    out = []
+    for k, x in enumerate(limits):
+        there = job.files.exists(f"{part}/step={k}")
+        out.append((job._read(_ARRIVED, [f"{part}/step={k}"] if there else []), manifests.where(F.col("manifest_seq") <= x)))
+    return out
+
+
+class Crash(RuntimeError):
+    """A failure that is put in."""
+
+
+def _crash() -> None:
+    raise Crash("the process is lost")
+
+
+def rerun(spark: SparkSession, folder: str, entries: DataFrame, sstables: DataFrame, manifests: DataFrame, steps: int = 3) -> IncrementalJob:
+    """The job after so many runs over a recorded history, in which processes are lost.
+
+    The first run's process is lost when all is written but not committed, and the run is made again; that of the
+    second is lost as soon as it has committed.  Every run is by a new process, which knows only the folder.
+    """
+    job = IncrementalJob(spark, folder)
+    for k, (rows, saves) in enumerate(landed(job, entries, sstables, manifests, steps)):
+        if k == 0:
+            with contextlib.suppress(Crash):
+                IncrementalJob(spark, folder).run_arrived(rows, saves, before_commit=_crash)
+        with contextlib.suppress(Crash):
+            IncrementalJob(spark, folder).run_arrived(rows, saves)
+            if k == 1:
+                _crash()
+    return IncrementalJob(spark, folder)

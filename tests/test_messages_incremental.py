@@ -1,6 +1,7 @@
 """Messages delivered more than once, and only what is new: against plain Python, and odd inputs."""
 
 import json
+import pathlib
 import random
 from collections import defaultdict
 
@@ -177,6 +178,47 @@ def test_runs_of_the_job_survive_failures(spark, tmp_path):
     assert got == brute(entries, sstables, manifests) and job.commits() == [1, 2, 3, 4, 5]
 
 
+def test_a_run_opens_no_file_of_the_run_before(spark, tmp_path):
+    tables = history(21, saves=60, logs=3, size=500)
+    job = incremental.IncrementalJob(spark, str(tmp_path / "job"))
+    steps = incremental.landed(job, *frames(spark, tables), 4)
+    files = [{f.rsplit("/", 2)[1] for f in rows.inputFiles()} for rows, _ in steps]
+    assert files == [{f"step={k}"} for k in range(4)]
+    for (rows, saves), seen in zip(steps, [r[0].inputFiles() for r in steps]):
+        job.run_arrived(rows, saves)
+        for f in seen:  # nothing that was processed is needed again
+            pathlib.Path(f.removeprefix("file://")).unlink()
+    assert sorted(tuple(r) for r in job.output().collect()) == brute(*tables)
+
+
+def test_lost_processes_neither_skip_nor_repeat(spark, tmp_path):
+    tables = history(22, saves=60, logs=3, size=500)
+    job = incremental.rerun(spark, str(tmp_path / "job"), *frames(spark, tables))
+    assert sorted(tuple(r) for r in job.output().collect()) == brute(*tables) and job.commits() == [1, 2, 3]
+    job.vacuum()
+    assert sorted(tuple(r) for r in job.output().collect()) == brute(*tables)
+    empty = incremental.rerun(spark, str(tmp_path / "empty"), *(f.where("false") for f in frames(spark, tables)))
+    assert empty.output().count() == 0
+
+
+def test_outputs_are_brought_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "OUTPUTS", 3)
+    tables = history(23, saves=40, logs=2, size=300)
+    job = incremental.IncrementalJob(spark, str(tmp_path / "job"))
+    for rows, saves in incremental.landed(job, *frames(spark, tables), 7):
+        job.run_arrived(rows, saves)
+        assert len(job._latest()["outputs"]) < 3
+    assert sorted(tuple(r) for r in job.output().collect()) == brute(*tables)
+
+
+def test_two_runs_at_once_commit_once(spark, tmp_path):
+    tables = history(24, saves=20, logs=1, size=60)
+    job, other = (incremental.IncrementalJob(spark, str(tmp_path / "job")) for _ in range(2))
+    with pytest.raises(RuntimeError):
+        job.run(*frames(spark, tables), before_commit=lambda: other.run(*frames(spark, tables)))
+    assert job.commits() == [1] and sorted(tuple(r) for r in job.output().collect()) == brute(*tables)
+
+
 def test_stream_without_repeats(spark, tmp_path):
     from ledgerlog.streaming.ingest import deduplicated
 
