@@ -18,6 +18,10 @@ from .store import LogStore
 from .streaming.ingest import Ingest
 
 
+#: Spool files of a micro-batch.
+FILES_A_BATCH = 1000
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="ledgerlog", description="A timestamp-ordered log store on Spark")
     p.add_argument("-d", "--data-dir", help="folder of the log")
@@ -68,10 +72,11 @@ def ingest(spark: SparkSession, c: config.Config, stop: threading.Event | None =
     """Runs until all sources have ended or ``stop`` is set, then takes all that has landed."""
     if not c.has_source:
         raise config.ConfigError("sources", "at least one is required: --stdin, --file, --tcp or --udp")
-    store = LogStore(spark, f"{c.data_dir}/log", compaction_threshold=c.compaction_threshold, compaction_enabled=c.compaction_enabled)
-    spool = Spool(f"{c.data_dir}/spool", capacity=c.channel_capacity)
+    store = LogStore(spark, f"{c.data_dir}/log", compaction_threshold=c.compaction_threshold, compaction_enabled=c.compaction_enabled, flush_threshold=c.memtable_flush_threshold)
+    spool = Spool(f"{c.data_dir}/spool", capacity=c.channel_capacity, most_bytes=c.segment_size)
     sources = [*([StdinSource()] if c.stdin else []), *map(TailSource, c.files), *(TcpSource(*config.parse_address(a)) for a in c.tcp), *(UdpSource(*config.parse_address(a)) for a in c.udp)]
-    job = Ingest(store, stream_spool(spark, f"{c.data_dir}/spool"), f"{c.data_dir}/checkpoint", mode=c.flush_mode)
+    # a micro-batch takes so many files at most, and files are deleted once their batch is committed
+    job = Ingest(store, stream_spool(spark, f"{c.data_dir}/spool", max_files=FILES_A_BATCH, clean="delete"), f"{c.data_dir}/checkpoint", mode=c.flush_mode)
     runner = Runner(spool, sources).start()
     job.start()
     if stop is not None:

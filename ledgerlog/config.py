@@ -30,6 +30,7 @@ class Config:
     compaction_threshold: int = 4
     compaction_enabled: bool = True
     flush_mode: FlushMode = FlushMode.CAUTIOUS
+    segment_size: int = 16 * MIB
     channel_capacity: int = 1024
     stdin: bool = False
     files: tuple[str, ...] = field(default=())
@@ -45,6 +46,10 @@ class Config:
             raise ConfigError("memtable_flush_threshold_mib", "must be at least 1")
         if self.compaction_threshold < 2:
             raise ConfigError("compaction_threshold", "must be at least 2")
+        if self.segment_size < MIB:
+            raise ConfigError("segment_size_mib", "must be at least 1")
+        if self.segment_size % 4096:
+            raise ConfigError("segment_size_mib", "must be whole sectors of 4096 bytes")
         if self.channel_capacity < 1:
             raise ConfigError("channel_capacity", "must be at least 1")
         for name in ("tcp", "udp"):
@@ -89,6 +94,7 @@ _FILE: dict[tuple[str, str], tuple[str, Any]] = {
     ("storage", "compaction_threshold"): ("compaction_threshold", int),
     ("storage", "compaction_enabled"): ("compaction_enabled", bool),
     ("wal", "flush_mode"): ("flush_mode", _mode),
+    ("wal", "segment_size_mib"): ("segment_size", lambda v: v * MIB),
     ("ingester", "channel_capacity"): ("channel_capacity", int),
     ("sources", "stdin"): ("stdin", bool),
     ("sources", "files"): ("files", lambda v: tuple(map(expand_path, v))),
@@ -128,6 +134,7 @@ def from_environment(env: Mapping[str, str] = os.environ) -> dict[str, Any]:
         "COMPACTION_THRESHOLD": ("compaction_threshold", _number),
         "COMPACTION_ENABLED": ("compaction_enabled", parse_bool),
         "FLUSH_MODE": ("flush_mode", _mode),
+        "SEGMENT_SIZE_MIB": ("segment_size", lambda v: None if (n := _number(v)) is None else n * MIB),
         "CHANNEL_CAPACITY": ("channel_capacity", _number),
         "STDIN": ("stdin", parse_bool),
         "FILES": ("files", lambda v: tuple(map(expand_path, listed(v)))),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import time
 import uuid
 
@@ -74,28 +75,37 @@ class Folder:
         writer, so it does not matter whether the file system's rename would overwrite.
         """
         above, _, last = name.rpartition("/")
-        temporary, claim = f"{above}/.{last}-{uuid.uuid4().hex}.tmp", f"{above}/.{last}.claim"
+        temporary, claim = f"{above}/.{last.split('.')[0]}-{uuid.uuid4().hex}.tmp", f"{above}/.{last.split('.')[0]}.claim"
         self.write_text(temporary, text)
         if self.exists(name) or not self._claim(claim, name):
             self.delete(temporary)
             return False
         try:
             if not self.rename(temporary, name):
+                if self.exists(name):
+                    return False
                 raise OSError(f"{name} can't be written")
         finally:
             self.delete(claim)
         return True
 
+    def _create(self, name: str) -> None:
+        """An empty file that must not exist yet.  Hadoop's local file system looks first and makes it then; the machine's own doesn't."""
+        if self.fs.getUri().getScheme() == "file":
+            os.close(os.open(self.path(name).toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        else:
+            self.fs.create(self.path(name), False).close()
+
     def _claim(self, claim: str, target: str) -> bool:
         """Whether this writer may make the target.  The claim of a writer that died is broken once it is CLAIM_S old."""
         for _ in range(2):
             try:
-                self.fs.create(self.path(claim), False).close()
+                self._create(claim)
                 if not self.exists(target):
                     return True
                 self.delete(claim)
                 return False
-            except Py4JJavaError:
+            except (Py4JJavaError, FileExistsError):
                 try:
                     age = time.time() - self.fs.getFileStatus(self.path(claim)).getModificationTime() / 1000
                 except Py4JJavaError:

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..files import Folder
-from .lineage import cut_lineage
 
 #: Saves of a block, and blocks of a group of blocks: arrays that are looked through have this length at most.
 BLOCK = 128
@@ -31,10 +30,10 @@ def committed_saves(manifests: DataFrame) -> DataFrame:
 def arrived(entries: DataFrame, runs: DataFrame) -> DataFrame:
     """(log_id, timestamp_ns, digest, added, entry_id) of the entries of visible runs.
 
-    The digest (SHA-256) stands for the data before anything is moved, so payloads stay where they are.  A null data
-    is a content of its own.
+    The digest (MD5, 16 bytes) stands for the data before anything is moved, so payloads stay where they are.  A null
+    data is a content of its own.
     """
-    digest = F.unhex(F.coalesce(F.sha2("data", 256), F.lit("")))
+    digest = F.unhex(F.coalesce(F.md5("data"), F.lit("")))
     seen = entries.where("log_id is not null and timestamp_ns is not null").select("log_id", "run_id", "entry_id", "timestamp_ns", digest.alias("digest"))
     return seen.join(runs.select("log_id", "run_id", "added"), ["log_id", "run_id"]).select("log_id", "timestamp_ns", "digest", "added", "entry_id")
 
@@ -86,7 +85,7 @@ def processed(entries: DataFrame, sstables: DataFrame, manifests: DataFrame) ->
     Entries of a log with equal timestamp and data are one content; it is processed once, by the first committed
     save at which a run with it is visible and whose checkpoint is not below its timestamp; its smallest entry id
     visible at that save stands for it.  Rows without log or timestamp, runs without a save and saves without a
-    checkpoint take no part; a null data is a content of its own.  Data are compared by their SHA-256.
+    checkpoint take no part; a null data is a content of its own.  Data are compared by their MD5.
     """
     all_ = assign(contents(arrived(entries, visible_runs(sstables))).drop("digest"), committed_saves(manifests))
     return all_.where("seq is not null").select("log_id", F.col("seq").alias("manifest_seq"), _smallest_visible().alias("entry_id"))
@@ -94,8 +93,8 @@ def processed(entries: DataFrame, sstables: DataFrame, manifests: DataFrame) ->
 
 _OUTPUT = "log_id bigint, manifest_seq bigint, entry_id bigint, timestamp_ns bigint, digest binary"
 _BACKLOG = "log_id bigint, timestamp_ns bigint, added bigint, copies array<struct<added:bigint,entry_id:bigint>>, digest binary"
-_WATERMARK = "log_id bigint, mark bigint"
-_PLACED = "log_id bigint, timestamp_ns bigint, since bigint, copies array<struct<added:bigint,entry_id:bigint>>, digest binary, seq bigint"
+_WATERMARK = "log_id bigint, since bigint, mark bigint"
+_PLACED = "log_id bigint, manifest_seq bigint, entry_id bigint, timestamp_ns bigint, added bigint, copies array<struct<added:bigint,entry_id:bigint>>, digest binary, done boolean"
 _ARRIVED = "log_id bigint, timestamp_ns bigint, digest binary, added bigint, entry_id bigint"
 #: Outputs of so many runs are brought together into one.
 OUTPUTS = 8
@@ -127,9 +126,9 @@ class IncrementalJob:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*map(self.files.uri, parts))
 
-    def _write(self, rows: DataFrame, part: str, schema: str) -> str:
+    def _write(self, rows: DataFrame, part: str, schema: str, *by: str) -> str:
         kinds = dict(f.split(" ", 1) for f in schema.split(", "))
-        rows.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items())).write.parquet(self.files.uri(part))
+        rows.select(*(F.col(c).cast(k).alias(c) for c, k in kinds.items())).write.partitionBy(*by).parquet(self.files.uri(part))
         return part
 
     def output(self) -> DataFrame:
@@ -148,36 +147,33 @@ class IncrementalJob:
         latest = self._latest()
         saves = committed_saves(manifests)
         upper = saves.groupBy("log_id").agg(F.max("seq").alias("upper"))
-        known = self._read(_WATERMARK, latest["watermark"])
-        limits = upper.join(known, "log_id", "full").select("log_id", F.coalesce("mark", F.lit(0)).alias("mark"), F.coalesce("upper", "mark", F.lit(0)).alias("upper"))
-        limits = cut_lineage(limits)  # a row per log: the limits are fixed here
-        found = contents(rows.join(limits, "log_id").where("added > mark and added <= upper").select(*rows.columns))
-        if latest["number"]:
-            old = self._read(_BACKLOG, latest["backlog"])
-            both = found.unionByName(old).groupBy("log_id", "timestamp_ns", "digest")
-            found = both.agg(F.min("added").alias("added"), F.flatten(F.collect_list("copies")).alias("copies"))
-            found = cut_lineage(found)
-            span = found.agg(F.min("timestamp_ns").alias("low"), F.max("timestamp_ns").alias("high")).first()
-            before = self._read(_OUTPUT, latest["outputs"]).select("log_id", "timestamp_ns", "digest")
-            if span.low is not None:  # of the history only the stretch that the new entries lie in is read
-                before = before.where(F.col("timestamp_ns").between(span.low, span.high))
-            found = found.join(before, ["log_id", "timestamp_ns", "digest"], "left_anti")
-        fresh = saves.join(limits, "log_id").where("seq > mark and seq <= upper").select("log_id", "seq", "checkpoint")
-        searched = found.join(limits.select("log_id", "mark"), "log_id").withColumns({"since": F.col("added"), "added": F.greatest("added", F.col("mark") + 1)}).drop("mark")
+        known = self._read(_WATERMARK, latest["watermark"]).select("log_id", F.col("mark").alias("old"))
+        both = upper.join(known, "log_id", "full").select("log_id", F.coalesce("old", F.lit(0)).alias("since"), F.coalesce("upper", "old", F.lit(0)).alias("mark"))
         stage = f"data/{uuid.uuid4().hex}"
         try:
-            placed = self._read(_PLACED, [self._write(assign(searched, fresh), f"{stage}/placed", _PLACED)])
-            done = placed.where("seq is not null").withColumns({"manifest_seq": F.col("seq"), "entry_id": _smallest_visible()})
-            outputs = [*latest["outputs"], self._write(done.sortWithinPartitions("timestamp_ns"), f"{stage}/output", _OUTPUT)]
+            watermark = [self._write(both.coalesce(1), f"{stage}/watermark", _WATERMARK)]
+            limits = self._read(_WATERMARK, watermark)  # fixed from here on
+            columns = [f.split(" ")[0] for f in _ARRIVED.split(", ")]
+            taken = rows.join(limits, "log_id").where("added > since and added <= mark").select(*columns)
+            if latest["backlog"]:
+                taken = taken.unionByName(self._read(_BACKLOG, latest["backlog"]).select("log_id", "timestamp_ns", "digest", F.inline("copies")))
+            found = contents(taken)
+            if latest["outputs"]:
+                span = taken.agg(F.min("timestamp_ns").alias("low"), F.max("timestamp_ns").alias("high")).first()
+                before = self._read(_OUTPUT, latest["outputs"]).select("log_id", "timestamp_ns", "digest")
+                if span.low is not None:  # of the history only the stretch that these entries lie in is read
+                    before = before.where(F.col("timestamp_ns").between(span.low, span.high))
+                found = found.join(before, ["log_id", "timestamp_ns", "digest"], "left_anti")
+            fresh = saves.join(limits, "log_id").where("seq > since and seq <= mark").select("log_id", "seq", "checkpoint")
+            searched = found.join(limits, "log_id").withColumns({"first": F.col("added"), "added": F.greatest("added", F.col("since") + 1)}).drop("since", "mark")
+            placed = assign(searched, fresh).withColumns({"done": F.col("seq").isNotNull(), "manifest_seq": F.col("seq"), "entry_id": _smallest_visible(), "added": F.col("first")})
+            placed = placed.withColumn("copies", F.when(~F.col("done"), F.col("copies")))
+            self._write(placed.sortWithinPartitions("done", "timestamp_ns"), f"{stage}/rows", _PLACED, "done")
+            outputs, backlog = ([p] if self.files.exists(p) else [] for p in (f"{stage}/rows/done=true", f"{stage}/rows/done=false"))
+            outputs = [*latest["outputs"], *outputs]
             if len(outputs) >= OUTPUTS:  # sorted by time, so that a stretch of it can be read
                 outputs = [self._write(self._read(_OUTPUT, outputs).repartitionByRange("timestamp_ns").sortWithinPartitions("timestamp_ns"), f"{stage}/outputs", _OUTPUT)]
-            commit = {
-                "number": latest["number"] + 1,
-                "outputs": outputs,
-                "backlog": [self._write(placed.where("seq is null").withColumn("added", F.col("since")), f"{stage}/backlog", _BACKLOG)],
-                "watermark": [self._write(limits.withColumn("mark", F.col("upper")), f"{stage}/watermark", _WATERMARK)],
-            }
-            self.files.delete(f"{stage}/placed")
+            commit = {"number": latest["number"] + 1, "outputs": outputs, "backlog": backlog, "watermark": watermark}
             if before_commit:
                 before_commit()
             if not self.files.publish(f"commits/v{commit['number']:020d}.json", json.dumps(commit)):

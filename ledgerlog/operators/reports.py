@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import FlushMode, entry_size, fits, sorted_run_name
+from ..model import FlushMode, entry_size, fits, hex16, sorted_run_name
 
 #: Entries that a crash may lose: those since the last of the syncs that come with every fiftieth write.
 MOST_LOST = {FlushMode.NORMAL: 49, FlushMode.CAUTIOUS: 0, FlushMode.EMERGENCY: 0}
@@ -25,13 +25,20 @@ def storage_stats(catalog: DataFrame, tail: DataFrame) -> DataFrame:
     return runs.join(F.broadcast(rest))  # one row each
 
 
+def entry_crc() -> Column:
+    """CRC-32 of an entry: of its timestamp, least significant byte first as in the native files, and its data."""
+    digits = hex16("timestamp_ns")
+    turned = F.concat(*(F.substring(digits, i, 2) for i in range(15, 0, -2)))
+    return F.crc32(F.concat(F.unhex(turned), F.coalesce("data", F.lit(b""))))
+
+
 def run_catalog(runs: DataFrame, run: str = "run_id") -> DataFrame:
     """Per run its count, bounds, checksum (xor of the entries' CRC-32, so that order does not matter) and file name."""
     by = runs.groupBy(run).agg(
         F.count("*").alias("entry_count"),
         F.min("timestamp_ns").alias("min_timestamp_ns"),
         F.max("timestamp_ns").alias("max_timestamp_ns"),
-        F.bit_xor(F.crc32("data")).alias("crc"),
+        F.bit_xor(entry_crc()).alias("crc"),
     )
     return by.withColumn("path", sorted_run_name("min_timestamp_ns", "max_timestamp_ns"))
 
@@ -72,7 +79,12 @@ def ingest_counters(log: DataFrame, limit: int) -> DataFrame:
 
 def checksums(log: DataFrame) -> DataFrame:
     """(timestamp_ns, crc) per entry."""
-    return log.select("timestamp_ns", F.crc32("data").alias("crc"))
+    return log.select("timestamp_ns", entry_crc().alias("crc"))
+
+
+def corrupt(log: DataFrame, crc: str = "crc") -> DataFrame:
+    """Entries whose stored checksum is not that of their timestamp and data."""
+    return log.where(~F.col(crc).eqNullSafe(entry_crc()))
 
 
 def missing(durable: DataFrame, recovered: DataFrame) -> DataFrame:

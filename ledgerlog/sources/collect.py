@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import contextlib
+import itertools
 import os
 import socket
 import sys
@@ -21,7 +22,7 @@ from typing import BinaryIO, Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .lines import trim_bytes
+from .lines import arrival, trim_bytes
 
 #: A datagram is cut at this length.
 DATAGRAM_BYTES = 8192
@@ -31,13 +32,17 @@ POLL_S = 0.1
 class Spool:
     """Entries in files of bounded size and age, each of which appears whole, by rename.
 
-    At most ``capacity`` entries wait; while they are written out, ``put`` blocks: producers slow down, nothing is
-    dropped.
+    At most ``capacity`` entries and ``most_bytes`` wait; while they are written out, ``put`` blocks, and so it does while
+    ``most_files`` files lie there that the stream has not cleared yet: producers slow down, nothing is dropped.
     """
 
-    def __init__(self, folder: str, *, most_entries: int = 10_000, most_seconds: float = 1.0, capacity: int = 1024):
-        self.folder, self.most_entries, self.most_seconds = Path(folder), min(most_entries, capacity), most_seconds
+    def __init__(self, folder: str, *, most_entries: int = 10_000, most_seconds: float = 1.0, capacity: int = 1024, most_bytes: int = 16 << 20, most_files: int = 10_000):
+        if "://" in folder and not folder.startswith("file://"):
+            raise ValueError(f"a spool is a folder of this machine, not {folder}")
+        self.folder, self.most_entries, self.most_seconds, self.most_bytes, self.most_files = Path(folder.removeprefix("file://")), min(most_entries, capacity), most_seconds, most_bytes, most_files
         self.folder.mkdir(parents=True, exist_ok=True)
+        self._bytes = 0
+        self.closing = False
         self._lock = threading.Lock()
         self._waiting: list[bytes] = []
         self._since = time.monotonic()
@@ -46,7 +51,8 @@ class Spool:
     def put(self, tag: str, data: bytes) -> None:
         with self._lock:
             self._waiting.append(base64.b64encode(f"[{tag}] ".encode() + data))
-            if len(self._waiting) >= self.most_entries:
+            self._bytes += len(self._waiting[-1])
+            if len(self._waiting) >= self.most_entries or self._bytes >= self.most_bytes:
                 self._roll()
         self.tick()
 
@@ -55,7 +61,13 @@ class Spool:
             if self._waiting and time.monotonic() - self._since >= self.most_seconds:
                 self._roll()
 
+    def _full(self) -> bool:
+        with os.scandir(self.folder) as there:
+            return sum(1 for _ in itertools.islice(there, self.most_files)) >= self.most_files
+
     def _roll(self) -> None:
+        while not self.closing and self._full():
+            time.sleep(POLL_S)
         name = f"{time.time_ns():020d}-{self._number:06d}-{uuid.uuid4().hex[:8]}.spool"
         part = self.folder / f".{name}.tmp"
         with part.open("wb") as f:
@@ -64,11 +76,13 @@ class Spool:
             os.fsync(f.fileno())
         part.rename(self.folder / name)
         self._waiting.clear()
+        self._bytes = 0
         self._number += 1
         self._since = time.monotonic()
 
     def close(self) -> None:
-        """Writes what waits."""
+        """Writes what waits, however many files there are."""
+        self.closing = True
         with self._lock:
             if self._waiting:
                 self._roll()
@@ -94,36 +108,57 @@ class StdinSource:
 
 
 class TailSource:
-    """Lines appended to a file from now on; after a rotation or truncation the new file is read from its start."""
+    """Lines appended to a file from now on; the source ends with an error at a line that is no UTF-8.
+
+    The file stays open: after a rotation what was still added to the old one is read first, then the new one from its
+    start; a file that became shorter is read from its start.
+    """
 
     def __init__(self, path: str, from_start: bool = False):
         self.path, self.from_start = os.path.realpath(path), from_start
 
     def run(self, spool: Spool, stop: threading.Event) -> None:
-        tag, rest, known, at = f"file:{self.path}", b"", None, 0
+        tag, rest, file = f"file:{self.path}", b"", None
+
+        def take(ended: bool) -> None:
+            nonlocal rest
+            while got := file.read(1 << 20):
+                *lines, rest = (rest + got).split(b"\n")
+                for line in lines:
+                    line.decode("utf-8")
+                    spool.put(tag, trim_bytes(line))
+            if ended and rest:
+                rest.decode("utf-8")
+                spool.put(tag, trim_bytes(rest))
+                rest = b""
+
         first = True
-        while True:
-            ending = stop.is_set()
-            with contextlib.suppress(FileNotFoundError):
-                status = os.stat(self.path)
-                if known != status.st_ino or status.st_size < at:
-                    at = status.st_size if first and not self.from_start else 0
-                    known, rest = status.st_ino, b""
+        try:
+            while True:
+                ending = stop.is_set()
+                with contextlib.suppress(FileNotFoundError):
+                    status = os.stat(self.path)
+                    if file is not None and os.fstat(file.fileno()).st_ino != status.st_ino:
+                        take(True)
+                        file.close()
+                        file = None
+                    if file is None:
+                        file = open(self.path, "rb")  # noqa: SIM115
+                        if first and not self.from_start:
+                            file.seek(0, os.SEEK_END)
+                    elif status.st_size < file.tell():
+                        file.seek(0)
+                        rest = b""
                 first = False
-                if status.st_size > at:
-                    with open(self.path, "rb") as f:
-                        f.seek(at)
-                        rest += f.read(status.st_size - at)
-                    at = status.st_size
-                    *lines, rest = rest.split(b"\n")
-                    for line in lines:
-                        spool.put(tag, trim_bytes(line))
-            spool.tick()
-            if ending:
-                break
-            stop.wait(POLL_S)
-        if rest:
-            spool.put(tag, trim_bytes(rest))
+                if file is not None:
+                    take(ending)
+                spool.tick()
+                if ending:
+                    break
+                stop.wait(POLL_S)
+        finally:
+            if file is not None:
+                file.close()
 
 
 class TcpSource:
@@ -239,10 +274,10 @@ def read_spool(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_spool(spark: SparkSession, folder: str, max_files: int | None = None, clean: str | None = None) -> DataFrame:
-    """(data) of spool files as they land; ``max_files`` a trigger bound a micro-batch."""
+    """(data, and the place of the line) of spool files as they land; ``max_files`` a trigger bound a micro-batch."""
     reader = spark.readStream.option("pathGlobFilter", "*.spool")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if clean:
         reader = reader.option("cleanSource", clean)
-    return reader.text(folder).select(F.unbase64("value").alias("data"))
+    return reader.text(folder).select(F.unbase64("value").alias("data"), *arrival())

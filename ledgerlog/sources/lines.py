@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import sys
+import time
+import uuid
 from pathlib import Path
 from typing import BinaryIO
 
@@ -13,6 +15,14 @@ from pyspark.sql import functions as F
 LINE_END = "\n"
 
 
+#: Where a line of a streamed file comes from: its file, and its block in it.
+ARRIVAL = ("_file", "_block")
+
+
+def arrival() -> list[Column]:
+    return [F.col("_metadata.file_path").alias(ARRIVAL[0]), F.col("_metadata.file_block_start").alias(ARRIVAL[1])]
+
+
 def trim_line_ends(line: str | Column) -> Column:
     """All trailing line feeds and carriage returns are cut off; works on strings with any bytes."""
     column = F.col(line) if isinstance(line, str) else line
@@ -41,7 +51,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_lines(spark: SparkSession, folder: str, max_files: int | None = None, max_bytes: str | None = None, clean: str | None = None, archive: str | None = None) -> DataFrame:
-    """(data) of files that appear in a folder: closed or rolled files, each read once.
+    """(data, and the place of the line) of files that appear in a folder: closed or rolled files, each read once.
 
     ``max_files`` and ``max_bytes`` a trigger bound what a micro-batch takes, so nothing is dropped and no queue can
     overflow.  ``clean`` (archive or delete) clears files that are committed.
@@ -55,16 +65,19 @@ def stream_lines(spark: SparkSession, folder: str, max_files: int | None = None,
         reader = reader.option("cleanSource", clean)
         if archive:
             reader = reader.option("sourceArchiveDir", archive)
-    return reader.text(folder).select(tagged(file_tag(), "value").alias("data"))
+    return reader.text(folder).select(tagged(file_tag(), "value").alias("data"), *arrival())
 
 
 def spool_stdin(folder: str, source: BinaryIO | None = None, name: str = "stdin", most: int = 64 << 20) -> list[str]:
-    """Lands standard input in files of a spool folder, cut after a line end; a file appears whole, by rename."""
+    """Lands standard input in files of a spool folder, cut after a line end; a file appears whole, by rename.
+
+    Names hold the time and a token, so a later call adds files and replaces none.
+    """
     source = source or sys.stdin.buffer
     Path(folder).mkdir(parents=True, exist_ok=True)
     made: list[str] = []
     while lines := source.readlines(most):
-        target = Path(folder, f"{name}-{len(made):06d}.log")
+        target = Path(folder, f"{name}-{time.time_ns():020d}-{len(made):06d}-{uuid.uuid4().hex[:8]}.log")
         part = target.with_name(f".{target.name}.tmp")
         part.write_bytes(b"".join(lines))
         part.rename(target)

@@ -15,18 +15,16 @@ import time
 import uuid
 from dataclasses import asdict, dataclass, replace
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.render import line
+from .files import Folder
+from .functions.render import CSV_HEADER
 from .model import MAX_ENTRY_BYTES, SCHEMA, OutputFormat, entry_size
-from .operators import compaction, reads, reports
+from .operators import compaction, reads, reports, sequence
 
 RUN_SCHEMA = "path string, min_timestamp_ns bigint, max_timestamp_ns bigint, entry_count bigint, bytes bigint"
 FORMAT = 1
-#: Seconds after which the claim of a writer on a version counts as left behind.
-CLAIM_S = 60.0
 
 
 class StoreError(RuntimeError):
@@ -44,6 +42,7 @@ class Run:
     max_timestamp_ns: int
     entry_count: int
     bytes: int
+    crc: int | None = None  # of the entries' CRC-32 the exclusive or; runs of older manifests have none
 
 
 @dataclass(frozen=True)
@@ -80,42 +79,22 @@ class Manifest:
         return Manifest(raw["version"], raw["checkpoint_timestamp_ns"], tuple(Run(**r) for r in raw["runs"]), tuple((s, b) for s, b in raw["batches"]))
 
 
-class LogStore:
-    def __init__(self, spark: SparkSession, folder: str, *, compaction_threshold: int = 4, compaction_enabled: bool = True, entry_limit: int = MAX_ENTRY_BYTES):
-        self.spark, self.folder = spark, folder.rstrip("/")
-        self.compaction_threshold, self.compaction_enabled, self.entry_limit = compaction_threshold, compaction_enabled, entry_limit
-        self._jvm = spark._jvm
-        self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
-        for part in ("runs", "manifest"):
-            self._fs.mkdirs(self._path(part))
-
-    # -- files
-
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
-
-    def _names(self, part: str) -> list[str]:
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(part)))
+def _measures() -> list[Column]:
+    return [F.count("*").alias("n"), F.min("timestamp_ns").alias("low"), F.max("timestamp_ns").alias("high"), F.sum(entry_size()).alias("bytes"), F.coalesce(F.bit_xor(reports.entry_crc()), F.lit(0)).alias("crc")]
 
-    def _read_text(self, name: str) -> str:
-        stream = self._fs.open(self._path(name))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
 
-    def _write_text(self, name: str, text: str) -> None:
-        stream = self._fs.create(self._path(name), False)
-        try:
-            stream.write(bytearray(text.encode("utf-8")))
-            stream.hsync()
-        finally:
-            stream.close()
+class LogStore:
+    def __init__(self, spark: SparkSession, folder: str, *, compaction_threshold: int = 4, compaction_enabled: bool = True, entry_limit: int = MAX_ENTRY_BYTES, flush_threshold: int | None = None):
+        self.spark, self.folder, self.flush_threshold = spark, folder.rstrip("/"), flush_threshold
+        self.compaction_threshold, self.compaction_enabled, self.entry_limit = compaction_threshold, compaction_enabled, entry_limit
+        self.files = Folder(spark, self.folder)
+        self.files.make("runs", "manifest")
+        self._known: set[str] = set()  # runs of the latest manifest seen
 
     # -- manifests
 
     def versions(self) -> list[int]:
-        return sorted(int(n[1:-5]) for n in self._names("manifest") if n.startswith("v") and n.endswith(".json"))
+        return sorted(int(n[1:-5]) for n in self.files.names("manifest") if n.startswith("v") and n.endswith(".json"))
 
     def manifest(self, version: int | None = None) -> Manifest:
         """The latest manifest, or that of a version; an empty log has version 0."""
@@ -126,77 +105,65 @@ class LogStore:
             return Manifest()
         if version not in known:
             raise StoreError(f"there is no version {version}")
-        return Manifest.loads(self._read_text(f"manifest/v{version:020d}.json"))
+        found = Manifest.loads(self.files.read_text(f"manifest/v{version:020d}.json"))
+        if version == known[-1]:
+            self._known = {r.path for r in found.runs}
+        return found
 
     def _commit(self, manifest: Manifest) -> Manifest:
-        """Validated before, visible at once, or not at all."""
+        """Validated before, visible at once, or not at all.  Runs that a committed manifest had are not looked for again."""
         new = replace(manifest, version=manifest.version + 1)
-        missing = [r.path for r in new.runs if not self._fs.exists(self._path(f"runs/{r.path}"))]
+        missing = [r.path for r in new.runs if r.path not in self._known and not self.files.exists(f"runs/{r.path}")]
         if missing:
             raise StoreError(f"runs of the manifest are missing: {missing[:3]}")
-        target, temporary, claim = (f"manifest/{n}" for n in (f"v{new.version:020d}.json", f".v{new.version}-{uuid.uuid4().hex}.tmp", f".v{new.version:020d}.claim"))
-        self._write_text(temporary, new.dumps())
-        if self._fs.exists(self._path(target)) or not self._claim(claim, target):
-            self._fs.delete(self._path(temporary), False)
+        if not self.files.publish(f"manifest/v{new.version:020d}.json", new.dumps()):
             raise CommitConflict(f"version {new.version} was committed by another writer")
-        try:
-            if not self._fs.rename(self._path(temporary), self._path(target)):
-                raise StoreError(f"{target} can't be written")
-        finally:
-            self._fs.delete(self._path(claim), False)
+        self._known = {r.path for r in new.runs}
         return new
 
-    def _claim(self, claim: str, target: str) -> bool:
-        """Whether this writer may make the target: creating the claim fails for all but one.
-
-        The claim of a writer that died is broken once it is CLAIM_S old.
-        """
-        for _ in range(2):
-            try:
-                self._fs.create(self._path(claim), False).close()
-                if not self._fs.exists(self._path(target)):
-                    return True
-                self._fs.delete(self._path(claim), False)
-                return False
-            except Py4JJavaError:
-                try:
-                    age = time.time() - self._fs.getFileStatus(self._path(claim)).getModificationTime() / 1000
-                except Py4JJavaError:
-                    continue  # its writer is done
-                if age < CLAIM_S or self._fs.exists(self._path(target)):
-                    return False
-                self._fs.delete(self._path(claim), False)
-        return False
-
     # -- writing
 
     def _write_run(self, log: DataFrame) -> Run | None:
         """A sorted run in files that don't overlap in time; None for an empty log.  Counts come from what was written."""
         token = uuid.uuid4().hex
         temporary = f"runs/.{token}.tmp"
-        log.select("timestamp_ns", "data").orderBy("timestamp_ns").write.parquet(f"{self.folder}/{temporary}")
-        written = self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{temporary}")
-        row = written.agg(F.count("*").alias("n"), F.min("timestamp_ns").alias("low"), F.max("timestamp_ns").alias("high"), F.sum(entry_size()).alias("bytes")).first()
+        log.select("timestamp_ns", "data").orderBy("timestamp_ns").write.parquet(self.files.uri(temporary))
+        row = self._measured(temporary)
         if not row.n:
-            self._fs.delete(self._path(temporary), True)
+            self.files.delete(temporary)
             return None
         name = f"{row.low:016x}_{row.high:016x}-{token[:12]}.parquet"
-        if not self._fs.rename(self._path(temporary), self._path(f"runs/{name}")):
+        if not self.files.rename(temporary, f"runs/{name}"):
             raise StoreError(f"{temporary} can't be renamed")
-        return Run(name, row.low, row.high, row.n, row.bytes)
+        return Run(name, row.low, row.high, row.n, row.bytes, row.crc)
+
+    def _measured(self, part: str) -> Row:
+        """Count, bounds, size and checksum of what a run's files hold."""
+        written = self.spark.read.schema(SCHEMA).parquet(self.files.uri(part))
+        return written.agg(*_measures()).first()
+
+    def check(self, run: Run) -> None:
+        """StoreError unless the run's files hold what its manifest says, to the checksum."""
+        row = self._measured(f"runs/{run.path}")
+        found = Run(run.path, row.low, row.high, row.n, row.bytes, row.crc if run.crc is not None else None)
+        if found != run:
+            raise StoreError(f"run {run.path} is not what was committed: {found} instead of {run}")
 
     def append(self, log: DataFrame, stream: str | None = None, batch: int | None = None) -> Manifest:
         """Adds a log of timestamps above the checkpoint; entries above the size limit are left out (`reads.oversize` has them).
 
-        With ``stream`` and ``batch`` (of a streaming query) a batch that is in already is not added again.
+        With ``stream`` and ``batch`` (of a streaming query) a batch that is in already is not added again.  With the
+        store's ``flush_threshold`` a log of more bytes becomes several runs, flushed where the sizes of its entries
+        reach the threshold; all of them come with one commit.
         """
         manifest = self.manifest()
         if stream is not None and batch is not None and dict(manifest.batches).get(stream, -1) >= batch:
             return manifest
-        small = reads.storable(log, self.entry_limit)
-        run = self._write_run(small)
+        runs = self._write_runs(reads.storable(log, self.entry_limit).select("timestamp_ns", "data"))
         while True:
-            new = manifest.register(run) if run else manifest
+            new = manifest
+            for run in runs:
+                new = new.register(run)
             if stream is not None and batch is not None:
                 new = replace(new, batches=tuple(sorted((dict(manifest.batches) | {stream: batch}).items())))
             if new == manifest:
@@ -207,17 +174,41 @@ class LogStore:
                 time.sleep(0.05)
                 manifest = self.manifest()
 
+    def _write_runs(self, log: DataFrame) -> list[Run]:
+        """One run, or one per flush: all are written by one job and then take their places."""
+        whole = self._write_run(log)
+        if whole is None or self.flush_threshold is None or whole.bytes <= self.flush_threshold:
+            return [whole] if whole else []
+        token = uuid.uuid4().hex
+        read = self.spark.read.schema(SCHEMA).parquet(self.files.uri(f"runs/{whole.path}"))
+        cut = sequence.flush_segments(read, self.flush_threshold)
+        cut.write.partitionBy("segment").parquet(self.files.uri(f"runs/.{token}.tmp"))
+        by = self.spark.read.schema("timestamp_ns bigint, data binary, segment bigint").parquet(self.files.uri(f"runs/.{token}.tmp"))
+        out = []
+        for r in by.groupBy("segment").agg(*_measures()).orderBy("segment").collect():  # a row per flush
+            name = f"{r.low:016x}_{r.high:016x}-{token[:12]}.parquet"
+            if not self.files.rename(f"runs/.{token}.tmp/segment={r.segment}", f"runs/{name}"):
+                raise StoreError(f"{name} can't be renamed")
+            out.append(Run(name, r.low, r.high, r.n, r.bytes, r.crc))
+        self.files.delete(f"runs/.{token}.tmp")
+        self.files.delete(f"runs/{whole.path}")
+        return out
+
     def compact(self, force: bool = False) -> Manifest:
-        """All runs into one, if there are enough of them; of equal timestamps the entry of the earlier run stays.
+        """Merges runs, if there are enough of them; of equal timestamps the entry of the earlier run stays.
 
-        A run that is appended meanwhile stays as it is.
+        Runs are taken by tiers (`compaction.picked`): neighbours of like size, and all that overlap them in time; large
+        runs stay as they are, so an entry is written again only as often as its tier grows.  ``force`` takes all.  The
+        inputs are checked against their checksums first.  A run that is appended meanwhile stays as it is.
         """
         manifest = self.manifest()
-        if not force and not (self.compaction_enabled and compaction.due(len(manifest.runs), self.compaction_threshold)) or len(manifest.runs) < 2:
+        taken = manifest.runs if force else compaction.picked(manifest.runs, self.compaction_threshold) if self.compaction_enabled else ()
+        if len(taken) < 2:
             return manifest
-        merged = compaction.first_wins(self._runs(manifest.runs), "rank")
-        run = self._write_run(merged)
-        gone = {r.path for r in manifest.runs}
+        for r in taken:
+            self.check(r)
+        run = self._write_run(compaction.first_wins(self._runs(tuple(taken)), "rank"))
+        gone = {r.path for r in taken}
         while True:
             latest = self.manifest()
             if not gone <= {r.path for r in latest.runs}:
@@ -238,14 +229,14 @@ class LogStore:
         limit = (time.time() - older_than_s) * 1000
         doomed = []
         for part in ("runs", "manifest"):
-            for status in self._fs.listStatus(self._path(part)):
+            for status in self.files.statuses(part):
                 name = status.getPath().getName()
                 old = status.getModificationTime() <= limit
                 stale = name.endswith((".tmp", ".claim")) or (part == "runs" and name not in used) or (part == "manifest" and name.startswith("v") and int(name[1:-5]) not in kept)
                 if old and stale:
                     doomed.append(f"{part}/{name}")
         for name in doomed:
-            self._fs.delete(self._path(name), True)
+            self.files.delete(name)
         return doomed
 
     # -- reading
@@ -284,32 +275,38 @@ class LogStore:
     def export(self, output: str, kind: OutputFormat, low: int | None = None, high: int | None = None, limit: int = reads.DEFAULT_LIMIT) -> int:
         """One file of rendered lines in order, which appears whole or not at all; the number of entries.
 
-        One writer sorts nothing: it concatenates ranges that the cluster has ordered.
+        Executors sort, render and write the lines as parts; the parts' bytes are copied into one file, which then takes
+        the place of the old one in one step.
         """
-        target = self._jvm.org.apache.hadoop.fs.Path(output)
-        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        temporary = self._jvm.org.apache.hadoop.fs.Path(f"{output}.{uuid.uuid4().hex}.tmp")
-        n = 0
+        snapshot = self.snapshot()
+        above, _, last = output.rpartition("/")
+        target = Folder(self.spark, above or ("/" if output.startswith("/") else "."))
+        work, io = f".{last}.{uuid.uuid4().hex}.tmp", self.spark._jvm.org.apache.hadoop.io.IOUtils
+        n = snapshot.log(low, high).count()
         try:
-            stream = fs.create(temporary, False)
+            snapshot.write_lines(target.uri(f"{work}/parts"), kind, low, high, limit)
+            stream = target.fs.create(target.path(f"{work}/whole"), False)
             try:
-                for text in reads.lines(self.snapshot().log(low, high), kind, low, high, limit):
-                    stream.write(bytearray((text + "\n").encode("utf-8", "surrogateescape")))
-                    n += 1
+                if kind is OutputFormat.CSV:
+                    stream.write(bytearray(f"{CSV_HEADER}\n".encode()))
+                for part in target.names(f"{work}/parts"):
+                    if part.startswith("part-"):
+                        source = target.fs.open(target.path(f"{work}/parts/{part}"))
+                        try:
+                            io.copyBytes(source, stream, 1 << 20, False)
+                        finally:
+                            source.close()
                 stream.hsync()
             finally:
                 stream.close()
-            fs.delete(target, False)
-            if not fs.rename(temporary, target):
-                raise StoreError(f"{output} can't be written")
+            target.replace(f"{work}/whole", last)
         finally:
-            fs.delete(temporary, False)
-        return n - (kind is OutputFormat.CSV)
-
+            target.delete(work)
+        return min(n, limit) if limit else n
 
     def export_parts(self, folder: str, kind: OutputFormat, low: int | None = None, high: int | None = None) -> None:
         """All lines of a range as numbered text files in order, written by the executors: for exports too large for one file."""
-        self.snapshot().scan(low, high).select(line(kind).alias("value")).write.text(folder, lineSep="\n")
+        self.snapshot().write_lines(folder, kind, low, high)
 
 
 @dataclass(frozen=True)
@@ -334,6 +331,9 @@ class Snapshot:
     def scan(self, low: int | None = None, high: int | None = None) -> DataFrame:
         return reads.scan_all(self.log(low, high))
 
+    def write_lines(self, folder: str, kind: OutputFormat, low: int | None = None, high: int | None = None, limit: int = 0) -> None:
+        reads.render(self.log(low, high), kind, limit=limit).select(F.col("line").alias("value")).write.text(folder, lineSep="\n")
+
     def get(self, timestamp_ns: int) -> bytes | None:
         runs = tuple(r for r in self.manifest.runs if r.min_timestamp_ns <= timestamp_ns <= r.max_timestamp_ns)
         row = reads.get(self.store._runs(runs), timestamp_ns, F.col("rank")).first() if runs else None

@@ -82,3 +82,12 @@ def test_bools_paths_and_addresses():
     assert [config.parse_bool(x) for x in ("TRUE", "1", "yes", "on", "off", "0", "no", "2")] == [True, True, True, True, False, False, False, None]
     assert config.parse_address("[::1]:5000") == ("::1", 5000)
     assert config.expand_path("~x") == "~x"
+
+
+def test_segment_size():
+    from ledgerlog import config
+
+    assert config.load(env={}).segment_size == 16 << 20 and config.load(env={"LEDGERLOG_SEGMENT_SIZE_MIB": "32"}).segment_size == 32 << 20
+    for size in (1000, (1 << 20) + 1):
+        with pytest.raises(config.ConfigError, match="segment_size_mib"):
+            config.load({"segment_size": size}, env={})

@@ -13,8 +13,7 @@ from zlib import crc32
 
 import pytest
 
-from ledgerlog import cli
-from ledgerlog import store as store_module
+from ledgerlog import cli, files
 from ledgerlog.model import FlushMode, OutputFormat
 from ledgerlog.operators import reads, reports
 from ledgerlog.sources import binary, collect, generator, lines
@@ -125,7 +124,7 @@ def test_a_claim_that_was_left_behind(spark, log_of, tmp_path, monkeypatch):
     (tmp_path / "manifest" / f".v{1:020d}.claim").write_text("")
     with pytest.raises(CommitConflict):
         store._commit(Manifest())
-    monkeypatch.setattr(store_module, "CLAIM_S", 0.0)
+    monkeypatch.setattr(files, "CLAIM_S", 0.0)
     assert store.append(log_of([(1, b"x")])).version == 1
 
 
@@ -335,3 +334,117 @@ def test_native_files(spark, tmp_path):
 def test_lines_are_streamed_in_order(log_of):
     log = log_of([(t * 10**9, b"x") for t in range(3)])
     assert list(reads.lines(log, OutputFormat.HEX))[0].endswith(" 78") and len(list(reads.lines(log, OutputFormat.CSV, limit=2))) == 3
+
+
+def test_arrival_order_is_that_of_files_and_lines(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, n in (("1", 3), ("2", 2000), ("3", 3)):
+        (tmp_path / "in" / f"{name}.log").write_text("".join(f"{name}-{k}\n" for k in range(n)))
+    store = LogStore(spark, str(tmp_path / "log"))
+    Ingest(store, lines.stream_lines(spark, str(tmp_path / "in")), str(tmp_path / "checkpoint")).drain()
+    got = [bytes(r.data).split(b"] ")[1].decode() for r in store.entries().collect()]
+    assert got == [f"{name}-{k}" for name, n in (("1", 3), ("2", 2000), ("3", 3)) for k in range(n)]
+
+
+def test_a_second_landing_adds_files(spark, tmp_path):
+    for text in (b"a\nb\n", b"c\n"):
+        lines.spool_stdin(str(tmp_path), io.BytesIO(text))
+    assert sorted(bytes(r.data) for r in lines.read_stdin_spool(spark, str(tmp_path)).collect()) == [b"[stdin] a", b"[stdin] b", b"[stdin] c"]
+
+
+def test_a_large_batch_is_flushed_in_several_runs(spark, log_of, tmp_path):
+    store = LogStore(spark, str(tmp_path), flush_threshold=100, compaction_enabled=False)
+    log = [(t, b"x" * (t % 40)) for t in range(1, 60)]
+    m = store.append(log_of(log), "s", 4)
+    assert m.version == 1 and len(m.runs) > 5 and all(a.max_timestamp_ns < b.min_timestamp_ns for a, b in zip(m.runs, m.runs[1:])) and all(r.bytes >= 100 for r in m.runs[:-1])
+    assert rows(store.entries()) == log and store.append(log_of([(99, b"y")]), "s", 4) == store.manifest() and m.checkpoint_timestamp_ns == 59
+    assert len(store.append(log_of([(99, b"y")]), "s", 5).runs) == len(m.runs) + 1
+
+
+def test_compaction_leaves_large_runs(spark, log_of, tmp_path, monkeypatch):
+    from ledgerlog.operators import compaction
+
+    monkeypatch.setattr(compaction, "TIER_BYTES", 64)
+    store = LogStore(spark, str(tmp_path), compaction_threshold=3)
+    store.append(log_of([(t, b"x" * 100) for t in range(1, 50)]))
+    (large,) = store.manifest().runs
+    for t in (100, 200, 300):
+        store.append(log_of([(t, b"s"), (t + 1, b"t")]))
+    m = store.compact()
+    assert large in m.runs and len(m.runs) == 2 and store.compact() == m and len(rows(store.entries())) == 55
+    overlapping = [Run("a", 1, 9, 1, 10**9), Run("b", 5, 6, 1, 1), Run("c", 20, 21, 1, 1), Run("d", 30, 31, 1, 1), Run("e", 50, 60, 1, 10**9)]
+    assert [r.path for r in compaction.picked(overlapping, 3)] == ["a", "b", "c", "d"] and compaction.picked(overlapping[3:], 3) == ()
+
+
+def test_compaction_refuses_a_run_that_was_changed(spark, log_of, tmp_path):
+    store = LogStore(spark, str(tmp_path), compaction_threshold=2)
+    for t in (1, 2):
+        store.append(log_of([(t, b"good")]))
+    run = store.manifest().runs[0]
+    log_of([(1, b"evil")]).write.mode("overwrite").parquet(str(tmp_path / "runs" / run.path))
+    with pytest.raises(StoreError, match="not what was committed"):
+        store.compact()
+    assert len(store.manifest().runs) == 2
+
+
+def test_checksums_are_the_native_ones(spark, log_of):
+    got = {r.timestamp_ns: r.crc for r in reports.checksums(log_of([(5, b"a"), (2**62, b"")])).collect()}
+    assert got == {5: crc32(struct.pack("<Q", 5) + b"a"), 2**62: crc32(struct.pack("<Q", 2**62))}
+    kept = reports.checksums(log_of([(5, b"a"), (6, b"b")])).join(log_of([(5, b"a"), (6, b"c")]), "timestamp_ns")
+    assert [r.timestamp_ns for r in reports.corrupt(kept).collect()] == [6]
+
+
+def test_an_export_replaces_the_old_one(spark, log_of, tmp_path):
+    store = LogStore(spark, str(tmp_path / "log"))
+    store.append(log_of([(t, b"%d" % t) for t in range(1, 2001)]))
+    out = tmp_path / "o.txt"
+    out.write_text("old")
+    assert store.export(str(out), OutputFormat.HEX, limit=0) == 2000 and len(out.read_text().splitlines()) == 2000
+    assert [p.name for p in tmp_path.iterdir() if "tmp" in p.name] == []
+
+
+def test_a_rotated_file_is_read_to_its_end(spark, tmp_path):
+    log, stop = tmp_path / "a.log", threading.Event()
+    log.write_text("before\n")
+    spool = collect.Spool(str(tmp_path / "spool"), most_seconds=0.05)
+    thread = threading.Thread(target=collect.TailSource(str(log)).run, args=(spool, stop))
+    thread.start()
+    time.sleep(0.4)
+    with log.open("a") as f:  # written after the last look, and rotated at once
+        f.write("one\ntwo")
+        f.flush()
+        log.rename(tmp_path / "a.log.1")
+        log.write_text("three\n")
+        time.sleep(0.5)
+    stop.set()
+    thread.join()
+    spool.close()
+    assert sorted(bytes(r.data).split(b"] ")[1] for r in collect.read_spool(spark, str(tmp_path / "spool")).collect()) == [b"one", b"three", b"two"]
+
+
+def test_a_file_that_is_no_text_ends_its_source(tmp_path):
+    (tmp_path / "b.log").write_bytes(b"fine\n\xff\xfe\n")
+    runner = collect.Runner(collect.Spool(str(tmp_path / "spool")), [collect.TailSource(str(tmp_path / "b.log"), from_start=True)]).start()
+    with pytest.raises(UnicodeDecodeError):
+        runner.finish()
+
+
+def test_a_full_spool_holds_producers_back(tmp_path):
+    spool = collect.Spool(str(tmp_path), most_entries=1, most_files=2)
+    done = []
+
+    def produce():
+        for i in range(4):
+            spool.put("t", b"%d" % i)
+            done.append(i)
+
+    thread = threading.Thread(target=produce)
+    thread.start()
+    time.sleep(0.5)
+    assert len(done) == 2 and len(list(tmp_path.glob("*.spool"))) == 2
+    for p in tmp_path.glob("*.spool"):
+        p.unlink()
+    thread.join(5)
+    assert len(done) == 4
+    with pytest.raises(ValueError, match="folder of this machine"):
+        collect.Spool("hdfs://there/spool")
