@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import FlushMode, entry_size, fits, hex16, sorted_run_name
+from . import reads
 
 #: Entries that a crash may lose: those since the last of the syncs that come with every fiftieth write.
 MOST_LOST = {FlushMode.NORMAL: 49, FlushMode.CAUTIOUS: 0, FlushMode.EMERGENCY: 0}
@@ -18,11 +20,19 @@ def stats(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("entries"), F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"))
 
 
-def storage_stats(catalog: DataFrame, tail: DataFrame) -> DataFrame:
-    """(runs, checkpoint_ns, tail_entries, tail_bytes): runs in the catalogue and what is not in any of them."""
-    runs = catalog.agg(F.count("*").alias("runs"), F.coalesce(F.max("max_timestamp_ns"), F.lit(0)).alias("checkpoint_ns"))
-    rest = tail.agg(F.count("*").alias("tail_entries"), F.coalesce(F.sum(entry_size()), F.lit(0)).alias("tail_bytes"))
-    return runs.join(F.broadcast(rest))  # one row each
+def storage_stats(catalog: DataFrame, tail: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys…, runs, checkpoint_ns, tail_entries, tail_bytes): catalogued runs, and what is not in any of them, of one log or of each."""
+    runs = catalog.groupBy(*keys).agg(F.count("*").alias("runs"), F.coalesce(F.max("max_timestamp_ns"), F.lit(0)).alias("checkpoint_ns"))
+    rest = tail.groupBy(*keys).agg(F.count("*").alias("tail_entries"), F.coalesce(F.sum(entry_size()), F.lit(0)).alias("tail_bytes"))
+    if not keys:
+        return runs.join(F.broadcast(rest))  # one row each
+    return runs.join(rest, list(keys), "full").fillna(0, ["runs", "checkpoint_ns", "tail_entries", "tail_bytes"])
+
+
+def behind(log: DataFrame, checkpoints: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Entries of each log behind its own checkpoint (``checkpoints``: keys… and checkpoint_ns); without one, all of them."""
+    own = checkpoints.select(*keys, F.col("checkpoint_ns").alias("_checkpoint"))
+    return log.join(own, list(keys), "left").where(F.col("timestamp_ns") > F.coalesce("_checkpoint", F.lit(-1))).drop("_checkpoint")
 
 
 def entry_crc() -> Column:
@@ -38,7 +48,7 @@ def run_catalog(runs: DataFrame, run: str = "run_id") -> DataFrame:
         F.count("*").alias("entry_count"),
         F.min("timestamp_ns").alias("min_timestamp_ns"),
         F.max("timestamp_ns").alias("max_timestamp_ns"),
-        F.bit_xor(entry_crc()).alias("crc"),
+        F.bit_xor(F.crc32("data")).alias("crc"),
     )
     return by.withColumn("path", sorted_run_name("min_timestamp_ns", "max_timestamp_ns"))
 
@@ -54,7 +64,12 @@ def whole_bounds(catalog: DataFrame) -> DataFrame:
 
 def replay(log: DataFrame, checkpoint: int) -> DataFrame:
     """(entries, first_ns, last_ns) of what a restart replays."""
-    return stats(log.where(F.col("timestamp_ns") > checkpoint))
+    return stats(reads.after_checkpoint(log, checkpoint))
+
+
+def replay_each(log: DataFrame, checkpoints: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys…, entries, first_ns, last_ns) of what a restart of each log replays; logs that replay nothing are missing."""
+    return behind(log, checkpoints, keys).groupBy(*keys).agg(F.count("*").alias("entries"), F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"))
 
 
 def orphans(listing: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -77,19 +92,34 @@ def ingest_counters(log: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def checksums(log: DataFrame) -> DataFrame:
-    """(timestamp_ns, crc) per entry."""
-    return log.select("timestamp_ns", entry_crc().alias("crc"))
+def checksums(log: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys…, timestamp_ns, crc) per entry; the CRC-32 of its data."""
+    return log.select(*keys, "timestamp_ns", F.crc32("data").alias("crc"))
 
 
 def corrupt(log: DataFrame, crc: str = "crc") -> DataFrame:
-    """Entries whose stored checksum is not that of their timestamp and data."""
-    return log.where(~F.col(crc).eqNullSafe(entry_crc()))
+    """Entries whose stored checksum is not that of their data."""
+    return log.where(~F.col(crc).eqNullSafe(F.crc32("data")))
+
+
+def missing(durable: DataFrame, recovered: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys…, timestamp_ns): acknowledged timestamps that recovery did not bring back; ``keys`` name the log."""
+    columns = [*keys, "timestamp_ns"]
+    return durable.select(*columns).distinct().join(recovered.select(*columns).distinct(), columns, "left_anti")
+
 
+def verdicts(durable: DataFrame, recovered: DataFrame, keys: Sequence[str], mode: FlushMode, previous: DataFrame | None = None) -> DataFrame:
+    """(keys…, passed, missing, recovered): what ``verify`` says of each log, many at once.
 
-def missing(durable: DataFrame, recovered: DataFrame) -> DataFrame:
-    """Acknowledged timestamps that recovery did not bring back."""
-    return durable.select("timestamp_ns").distinct().join(recovered.select("timestamp_ns").distinct(), "timestamp_ns", "left_anti")
+    ``previous`` has keys… and previous_entries, which recovery must not fall below; logs without a row have 0.
+    """
+    lost = missing(durable, recovered, keys).groupBy(*keys).agg(F.count("*").alias("missing"))
+    there = recovered.groupBy(*keys).agg(F.count("*").alias("recovered"))
+    logs = durable.select(*keys).distinct().dropna()
+    every = logs.join(lost, list(keys), "left").join(there, list(keys), "left")
+    every = every.join(previous, list(keys), "left") if previous is not None else every.withColumn("previous_entries", F.lit(0))
+    every = every.fillna(0, ["missing", "recovered", "previous_entries"])
+    return every.select(*keys, ((F.col("recovered") >= F.col("previous_entries")) & (F.col("missing") <= MOST_LOST[mode])).alias("passed"), "missing", "recovered")
 
 
 @dataclass(frozen=True)

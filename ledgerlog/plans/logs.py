@@ -2,8 +2,8 @@
 
 Logs: ``events`` (timestamp from ts, data from props), ``documents`` (a millisecond per doc_id, data from text, null
 texts being no entry), ``lineitem`` (many equal clocks) and the runs of ``run_entries``.  Binary columns are shown as
-hexadecimal text.  Bytes that are no UTF-8 are rendered over all tables of raw entries; SQL has no counterpart, so
-``q_text_lossy`` and ``q_csv_invalid_utf8`` hold the same expressions against literals.
+hexadecimal text.  Bytes that are no UTF-8 are rendered over all tables of raw entries; SQL has no counterpart, tests
+hold the expressions against Python.
 """
 
 from __future__ import annotations
@@ -28,9 +28,6 @@ SMALL_LIMIT = 4096
 FIRST_DOCUMENT_NS = 1_704_067_200_000_000_000
 _HOUR = 3_600_000_000_000
 
-_MALFORMED = [b"", b"caf\xc3\xa9", b"\xff\xfea", b"\xf0\x9f\x98", b"\xe2\x82", b"\xc0\x80x", b"\xed\xa0\x80", b"plain", b'a "b"', b"\x00\xff\x80", b"\xde\xad\xbe\xef"]
-
-
 def events_log(spark: SparkSession, folder: str) -> DataFrame:
     return model.from_timestamps(table(spark, folder, "events"), "ts", F.encode("props", "UTF-8"))
 
@@ -88,18 +85,6 @@ def _format(kind: OutputFormat, log: Callable[[SparkSession, str], DataFrame]):
     return lambda spark, folder: reads.render(log(spark, folder), kind, limit=0)
 
 
-def _fixture(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i * 1_000_000_000, bytes(d)) for i, d in enumerate(_MALFORMED)], model.SCHEMA)
-
-
-def q_text_lossy(spark, folder):
-    return _fixture(spark).select("timestamp_ns", render.lossy_text().alias("line"))
-
-
-def q_csv_invalid_utf8(spark, folder):
-    return _fixture(spark).select("timestamp_ns", render.csv_line().alias("line"))
-
-
 def _raw_entries(spark: SparkSession, folder: str) -> DataFrame:
     """The entries of all tables whose data are bytes of any kind."""
     names = ("csv_entries", "txn_entries", "log_entries", "run_entries")
@@ -130,8 +115,9 @@ def q_oversize(spark, folder):
 
 def q_merge_runs(spark, folder):
     """All runs of all logs, merged without dropping anything."""
-    runs = table(spark, folder, "run_entries").select("log_id", "timestamp_ns", "data")
-    return runs.orderBy("log_id", "timestamp_ns").select("log_id", "timestamp_ns", F.hex("data").alias("data_hex"))
+    entries, known = table(spark, folder, "run_entries"), table(spark, folder, "sstables").select("log_id", "run_id").distinct()
+    sides = [entries.join(known, ["log_id", "run_id"], how).select("log_id", "timestamp_ns", "data") for how in ("left_semi", "left_anti")]  # catalogued runs, and the others
+    return reads.merge(sides).select("log_id", "timestamp_ns", F.hex("data").alias("data_hex"))
 
 
 def q_compact_dedup(spark, folder):
@@ -165,12 +151,16 @@ def q_stats(spark, folder):
     return reports.stats(events_log(spark, folder))
 
 
+def _checkpoints(spark: SparkSession, folder: str) -> DataFrame:
+    """The highest committed checkpoint of each log."""
+    return table(spark, folder, "manifests").where("state = 'committed'").groupBy("log_id").agg(F.max("checkpoint_timestamp_ns").alias("checkpoint_ns"))
+
+
 def q_storage_stats(spark, folder):
-    """Runs, checkpoint and what lies behind it, over all logs."""
+    """Per log: runs, their end, and what lies behind its own committed checkpoint."""
     catalog = table(spark, folder, "sstables").dropDuplicates(["log_id", "run_id"])
-    top = table(spark, folder, "manifests").where("state = 'committed'").agg(F.coalesce(F.max("checkpoint_timestamp_ns"), F.lit(0)).alias("top"))
-    tail = table(spark, folder, "run_entries").join(F.broadcast(top), F.col("timestamp_ns") > F.col("top"))  # one row
-    return reports.storage_stats(catalog, tail)
+    tail = reports.behind(table(spark, folder, "run_entries"), _checkpoints(spark, folder), ["log_id"])
+    return reports.storage_stats(catalog, tail, ["log_id"])
 
 
 def q_whole_bounds(spark, folder):
@@ -179,15 +169,13 @@ def q_whole_bounds(spark, folder):
 
 def q_replay_tail(spark, folder):
     """Per log: entries behind its highest committed checkpoint."""
-    top = table(spark, folder, "manifests").where("state = 'committed'").groupBy("log_id").agg(F.max("checkpoint_timestamp_ns").alias("top"))
-    tail = table(spark, folder, "run_entries").join(top, "log_id").where("timestamp_ns > top")
-    return tail.groupBy("log_id").agg(F.count("*").alias("entries"), F.min("timestamp_ns").alias("first_ns"), F.max("timestamp_ns").alias("last_ns"))
+    return reports.replay_each(table(spark, folder, "run_entries"), _checkpoints(spark, folder), ["log_id"])
 
 
 def q_durable_missing(spark, folder):
-    """Timestamps of entries that a recovery from the catalogued runs alone would not bring back."""
+    """Timestamps of each log that a recovery from the catalogued runs alone would not bring back."""
     entries = table(spark, folder, "run_entries")
-    return reports.missing(entries, entries.join(table(spark, folder, "sstables").select("log_id", "run_id").distinct(), ["log_id", "run_id"], "left_semi"))
+    return reports.missing(entries, entries.join(table(spark, folder, "sstables").select("log_id", "run_id").distinct(), ["log_id", "run_id"], "left_semi"), ["log_id"])
 
 
 def q_orphans(spark, folder):
@@ -203,7 +191,7 @@ def q_ingest_counters(spark, folder):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [
-        q_scan_all, q_time_range, q_range_from_only, q_range_to_only, q_to_second_rounding, q_limit_first_n, q_get_hit, q_text_lossy, q_csv_invalid_utf8, q_text_lossy_entries, q_csv_invalid_utf8_entries, q_trim_tag, q_entry_size, q_oversize,
+        q_scan_all, q_time_range, q_range_from_only, q_range_to_only, q_to_second_rounding, q_limit_first_n, q_get_hit, q_text_lossy_entries, q_csv_invalid_utf8_entries, q_trim_tag, q_entry_size, q_oversize,
         q_merge_runs, q_compact_dedup, q_monotonic_ts, q_flush_segments, q_segment_catalog, q_prune_runs, q_stats, q_storage_stats, q_whole_bounds, q_replay_tail, q_durable_missing, q_orphans, q_ingest_counters,
     ]
     formats = {f"q_format_{k.value}{end}": _format(k, log) for k in OutputFormat for end, log in (("", events_log), ("_docs", documents_log))}
@@ -231,17 +219,7 @@ def _bounded(low: int | None, high: int | None) -> str:
     return f"SELECT timestamp_ns, hex(data) AS data_hex FROM {_EVENTS} WHERE {' AND '.join(parts)}"
 
 
-def _values(expected: list[str]) -> str:
-    rows = ", ".join(f"({i * 1_000_000_000}, '{x.replace(chr(39), chr(39) * 2)}')" for i, x in enumerate(expected))
-    return f"SELECT CAST(timestamp_ns AS BIGINT) AS timestamp_ns, replace(replace(line, '<NUL>', chr(0)), '<BAD>', chr(65533)) AS line FROM (VALUES {rows}) AS t(timestamp_ns, line)"
-
-
-_LOSSY = ["", "café", "<BAD><BAD>a", "<BAD>", "<BAD>", "<BAD><BAD>x", "<BAD><BAD><BAD>", "plain", 'a "b"', "<NUL><BAD><BAD>", "ޭ<BAD><BAD>"]
-_AS_CSV = ["", "café", "[hex:fffe61]", "[hex:f09f98]", "[hex:e282]", "[hex:c08078]", "[hex:eda080]", "plain", 'a ""b""', "[hex:00ff80]", "[hex:deadbeef]"]
-
-
 def oracle_sql() -> dict[str, str]:
-    stamp = [f"1970-01-01 00:00:{i:02d} UTC" for i in range(len(_MALFORMED))]
     day = 24 * _HOUR
     rank = "row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_shipdate)"
     name = lambda low, high: f"format('{{:016x}}', {low}) || '_' || format('{{:016x}}', {high}) || '.sst'"
@@ -254,8 +232,6 @@ def oracle_sql() -> dict[str, str]:
         "q_to_second_rounding": f"SELECT timestamp_ns // {day} AS day, CAST(sum(CASE WHEN timestamp_ns <= timestamp_ns // {day} * {day} + {12 * _HOUR} + 999999999 THEN 1 ELSE 0 END) AS BIGINT) AS through, CAST(sum(CASE WHEN timestamp_ns <= timestamp_ns // {day} * {day} + {12 * _HOUR} THEN 1 ELSE 0 END) AS BIGINT) AS until FROM {_EVENTS} GROUP BY 1",
         "q_limit_first_n": f"SELECT timestamp_ns, hex(data) AS data_hex FROM {_EVENTS} ORDER BY 1 LIMIT {FIRST}",
         "q_get_hit": f"SELECT timestamp_ns, hex(data) AS data_hex FROM {_EVENTS} WHERE timestamp_ns = (SELECT max(epoch_us(ts)) * 1000 FROM events) ORDER BY data LIMIT 1",
-        "q_text_lossy": _values(_LOSSY),
-        "q_csv_invalid_utf8": _values([f'"{s}","{x}"' for s, x in zip(stamp, _AS_CSV)]),
         "q_trim_tag": r"SELECT doc_id, hex(encode('[file:documents] ' || rtrim(text, chr(10) || chr(13)))) AS data_hex FROM documents WHERE text IS NOT NULL",
         "q_entry_size": f"SELECT timestamp_ns, CAST(octet_length(data) + 8 AS BIGINT) AS bytes FROM {_DOCS}",
         "q_oversize": f"SELECT timestamp_ns, hex(data) AS data_hex FROM {_DOCS} WHERE octet_length(data) > {SMALL_LIMIT}",
@@ -268,10 +244,10 @@ def oracle_sql() -> dict[str, str]:
         "q_segment_catalog": catalog,
         "q_prune_runs": f"SELECT DISTINCT log_id, run_id, path, min_timestamp_ns, max_timestamp_ns FROM sstables, (SELECT quantile_disc(min_timestamp_ns, 0.5) AS low FROM (SELECT DISTINCT log_id, run_id, path, min_timestamp_ns, max_timestamp_ns FROM sstables)) WHERE min_timestamp_ns <= low + {_HOUR} AND max_timestamp_ns >= low",
         "q_stats": f"SELECT count(*) AS entries, min(timestamp_ns) AS first_ns, max(timestamp_ns) AS last_ns FROM {_EVENTS}",
-        "q_storage_stats": "WITH top AS (SELECT coalesce(max(checkpoint_timestamp_ns), 0) AS top FROM manifests WHERE state = 'committed'), tail AS (SELECT data FROM run_entries, top WHERE timestamp_ns > top) SELECT (SELECT count(DISTINCT (log_id, run_id)) FROM sstables) AS runs, (SELECT coalesce(max(max_timestamp_ns), 0) FROM sstables) AS checkpoint_ns, (SELECT count(*) FROM tail) AS tail_entries, CAST((SELECT coalesce(sum(octet_length(data) + 8), 0) FROM tail) AS BIGINT) AS tail_bytes",
+        "q_storage_stats": "WITH top AS (SELECT log_id, max(checkpoint_timestamp_ns) AS top FROM manifests WHERE state = 'committed' GROUP BY 1), tail AS (SELECT e.log_id, count(*) AS n, sum(octet_length(data) + 8) AS b FROM run_entries e LEFT JOIN top ON top.log_id = e.log_id WHERE e.timestamp_ns > coalesce(top, -1) GROUP BY 1), runs AS (SELECT log_id, count(DISTINCT run_id) AS runs, max(max_timestamp_ns) AS checkpoint_ns FROM sstables GROUP BY 1) SELECT coalesce(r.log_id, t.log_id) AS log_id, coalesce(runs, 0) AS runs, coalesce(checkpoint_ns, 0) AS checkpoint_ns, coalesce(n, 0) AS tail_entries, CAST(coalesce(b, 0) AS BIGINT) AS tail_bytes FROM runs r FULL JOIN tail t ON t.log_id = r.log_id",
         "q_whole_bounds": "SELECT min(min_timestamp_ns) AS min_timestamp_ns, max(max_timestamp_ns) AS max_timestamp_ns FROM sstables",
-        "q_replay_tail": "SELECT e.log_id, count(*) AS entries, min(e.timestamp_ns) AS first_ns, max(e.timestamp_ns) AS last_ns FROM run_entries e JOIN (SELECT log_id, max(checkpoint_timestamp_ns) AS top FROM manifests WHERE state = 'committed' GROUP BY 1) t ON t.log_id = e.log_id WHERE e.timestamp_ns > t.top GROUP BY 1",
-        "q_durable_missing": "SELECT DISTINCT timestamp_ns FROM run_entries d WHERE NOT EXISTS (SELECT 1 FROM run_entries e JOIN sstables s ON s.log_id = e.log_id AND s.run_id = e.run_id WHERE e.timestamp_ns = d.timestamp_ns)",
+        "q_replay_tail": "SELECT e.log_id, count(*) AS entries, min(e.timestamp_ns) AS first_ns, max(e.timestamp_ns) AS last_ns FROM run_entries e LEFT JOIN (SELECT log_id, max(checkpoint_timestamp_ns) AS top FROM manifests WHERE state = 'committed' GROUP BY 1) t ON t.log_id = e.log_id WHERE e.timestamp_ns > coalesce(t.top, -1) GROUP BY 1",
+        "q_durable_missing": "SELECT DISTINCT log_id, timestamp_ns FROM run_entries d WHERE NOT EXISTS (SELECT 1 FROM run_entries e JOIN sstables s ON s.log_id = e.log_id AND s.run_id = e.run_id WHERE e.log_id = d.log_id AND e.timestamp_ns = d.timestamp_ns)",
         "q_orphans": f"SELECT path AS name FROM ({catalog}) c WHERE NOT EXISTS (SELECT 1 FROM sstables s WHERE s.path = c.path)",
         "q_ingest_counters": f"SELECT CAST(count(*) FILTER (octet_length(data) <= {SMALL_LIMIT}) AS BIGINT) AS ingested, CAST(count(*) FILTER (octet_length(data) > {SMALL_LIMIT}) AS BIGINT) AS failed, CAST(coalesce(sum(octet_length(data)) FILTER (octet_length(data) <= {SMALL_LIMIT}), 0) AS BIGINT) AS bytes FROM {_DOCS}",
     }

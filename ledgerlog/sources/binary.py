@@ -1,4 +1,4 @@
-"""Readers of the native files: write-ahead segments, sorted runs and the manifest, all little-endian.
+"""The native files, read and written: write-ahead segments, sorted runs and the manifest, all little-endian.
 
     segment   records padded to 4096 bytes: u32 length, u32 crc(length); u64 timestamp, data; u32 crc(timestamp, data), u32 0, u64 mark
     run       u64 mark, u32 version, u32 count, u64 min, u64 max; per entry u64 timestamp, u32 length, data; u32 crc(entries), u32 0, u64 mark
@@ -8,7 +8,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -68,6 +68,25 @@ def run_entries(raw: bytes) -> Iterator[tuple[int, bytes]]:
         raise CorruptFile("the run's checksum is wrong")
 
 
+def segment_bytes(entries: Iterable[tuple[int, bytes]]) -> bytes:
+    """A segment of these entries, in the order they come."""
+    out = bytearray()
+    for timestamp, data in entries:
+        body = struct.pack("<Q", timestamp) + data
+        length = struct.pack("<I", len(body) + 16)
+        record = length + struct.pack("<I", crc32(length)) + body + struct.pack("<IIQ", crc32(body), 0, SEGMENT_MARK)
+        out += record.ljust(-(-len(record) // SECTOR) * SECTOR, b"\0")
+    return bytes(out)
+
+
+def run_bytes(entries: Iterable[tuple[int, bytes]]) -> bytes:
+    """A sorted run of these entries, which come in order."""
+    entries = list(entries)
+    body = b"".join(struct.pack("<QI", t, len(d)) + d for t, d in entries)
+    low, high = (entries[0][0], entries[-1][0]) if entries else (0, 0)
+    return struct.pack("<QIIQQ", RUN_HEAD_MARK, VERSION, len(entries), low, high) + body + struct.pack("<IIQ", crc32(body), 0, RUN_END_MARK)
+
+
 @dataclass(frozen=True)
 class NativeManifest:
     checkpoint_timestamp_ns: int

@@ -138,3 +138,22 @@ def test_ranges_reach_the_scan(spark, log_of, tmp_path):
     stored = spark.read.schema(SCHEMA).parquet(str(tmp_path / "log"))
     plan = reads.scan(stored, 10, 20)._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(timestamp_ns,10)" in plan and "LessThanOrEqual(timestamp_ns,20)" in plan
+
+
+def test_each_log_has_its_own_checkpoint(spark):
+    log = spark.createDataFrame([(1, 5, b"a"), (1, 9, b"b"), (2, 5, b"c"), (3, 0, b"d"), (None, 1, b"e")], "log_id long, timestamp_ns long, data binary")
+    checkpoints = spark.createDataFrame([(1, 5), (2, 9), (4, 1)], "log_id long, checkpoint_ns long")
+    assert sorted(tuple(r) for r in reports.replay_each(log, checkpoints, ["log_id"]).where("log_id is not null").collect()) == [(1, 1, 9, 9), (3, 1, 0, 0)]
+    catalog = spark.createDataFrame([(1, 7), (1, 8), (5, 3)], "log_id long, max_timestamp_ns long")
+    got = reports.storage_stats(catalog, reports.behind(log, checkpoints, ["log_id"]).where("log_id is not null"), ["log_id"])
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 2, 8, 1, 9), (3, 0, 0, 1, 9), (5, 1, 3, 0, 0)]
+
+
+def test_a_loss_in_one_log_is_no_other_logs(spark):
+    durable = spark.createDataFrame([(1, 5), (1, 6), (2, 5), (2, 6)], "log_id long, timestamp_ns long")
+    recovered = spark.createDataFrame([(1, 5), (1, 6), (2, 5)], "log_id long, timestamp_ns long")
+    previous = spark.createDataFrame([(1, 3)], "log_id long, previous_entries long")
+    assert [tuple(r) for r in reports.missing(durable, recovered, ["log_id"]).collect()] == [(2, 6)]
+    got = {r.log_id: (r.passed, r.missing) for r in reports.verdicts(durable, recovered, ["log_id"], FlushMode.CAUTIOUS, previous).collect()}
+    assert got == {1: (False, 0), 2: (False, 1)}
+    assert {r.passed for r in reports.verdicts(durable, recovered, ["log_id"], FlushMode.NORMAL).collect()} == {True}
