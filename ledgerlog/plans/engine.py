@@ -109,7 +109,7 @@ def q_store_stats(spark, folder):
 def q_flushed_runs(spark, folder):
     """The runs of one append that is flushed by size."""
     with _folder(spark) as work:
-        store = LogStore(spark, work.uri("log"), flush_threshold=64 * FLUSH_BYTES)
+        store = LogStore(spark, work.uri("log"), flush_threshold=4 * FLUSH_BYTES)
         store.append(events_log(spark, folder))
         return store.snapshot().catalog().select("min_timestamp_ns", "max_timestamp_ns", "entry_count", "bytes")
 
@@ -272,7 +272,7 @@ verdicts AS (SELECT log_id, coalesce(n, 0) AS missing FROM (SELECT DISTINCT log_
 
 def oracle_sql() -> dict[str, str]:
     flushes = f"""WITH RECURSIVE {_EVENTS.split(', b AS')[0]}, total AS (SELECT timestamp_ns, octet_length(data) + 8 AS size, CAST(sum(octet_length(data) + 8) OVER (ORDER BY timestamp_ns) AS BIGINT) AS c FROM e),
-        cuts(segment, c) AS (SELECT 0, (SELECT min(c) FROM total WHERE c >= {64 * FLUSH_BYTES}) UNION ALL SELECT segment + 1, (SELECT min(t.c) FROM total t WHERE t.c >= cuts.c + {64 * FLUSH_BYTES}) FROM cuts WHERE cuts.c IS NOT NULL),
+        cuts(segment, c) AS (SELECT 0, (SELECT min(c) FROM total WHERE c >= {4 * FLUSH_BYTES}) UNION ALL SELECT segment + 1, (SELECT min(t.c) FROM total t WHERE t.c >= cuts.c + {4 * FLUSH_BYTES}) FROM cuts WHERE cuts.c IS NOT NULL),
         placed AS (SELECT t.*, (SELECT count(*) FROM cuts WHERE cuts.c < t.c) AS segment FROM total t)
         SELECT min(timestamp_ns) AS min_timestamp_ns, max(timestamp_ns) AS max_timestamp_ns, count(*) AS entry_count, CAST(sum(size) AS BIGINT) AS bytes FROM placed GROUP BY segment"""
     return {

@@ -52,6 +52,16 @@ def p4_kept(spark: SparkSession, folder: str) -> DataFrame:
     return messages.kept(table(spark, folder, "txn_entries"))
 
 
+def p4_new(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the entries behind the median of arrival, what stays where all before it are stored."""
+    entries = table(spark, folder, "txn_entries")
+    fields = messages.identifier_fields(entries)
+    identifier = messages.message_id(F.col("data"), fields)
+    middle = entries.agg(F.expr("percentile_disc(0.5) within group (order by timestamp_ns)").alias("at")).first().at
+    stored = entries.where(F.col("timestamp_ns") <= F.lit(middle)).select(identifier.alias("message_id"))
+    return messages.deduplicate_new(stored, entries.where(F.col("timestamp_ns") > F.lit(middle)), identifier)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """What three runs of the incremental job commit, of which two lose their process; its folder is the shared one."""
     job = incremental.rerun(spark, f"{checkpoint_dir(spark)}/increments-{uuid.uuid4().hex}", table(spark, folder, "run_entries"), table(spark, folder, "sstables"), table(spark, folder, "manifests"))
@@ -66,7 +76,7 @@ def p5_replay(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_layouts, p2_found, p2_scripts, p2_table, p3_found, p3_loaded, p4_found, p4_kept, p5_found, p5_replay)}
+    return {f.__name__: f for f in (p1_found, p1_layouts, p2_found, p2_scripts, p2_table, p3_found, p3_loaded, p4_found, p4_kept, p4_new, p5_found, p5_replay)}
 
 
 # Entries that are no JSON object (other JSON, plain text, bytes that are no UTF-8) have no identifier.
@@ -145,6 +155,8 @@ def oracle_sql() -> dict[str, str]:
         "p3_loaded": _loaded_sql(),
         "p4_found": _MESSAGES + "SELECT message_id, entry_id FROM ranked WHERE message_id IS NOT NULL AND place > 1",
         "p4_kept": _MESSAGES + "SELECT message_id, entry_id, CASE WHEN message_id IS NULL THEN 1 ELSE n END AS n FROM ranked WHERE message_id IS NULL OR place = 1",
+        "p4_new": _MESSAGES.replace("), ranked AS (", "), middle AS (SELECT quantile_disc(timestamp_ns, 0.5) AS mid FROM txn_entries), fresh AS (SELECT keyed.* FROM keyed, middle WHERE timestamp_ns > mid), ranked AS (").replace("AS n FROM keyed", "AS n FROM fresh")
+        + "SELECT message_id, entry_id, CASE WHEN message_id IS NULL THEN 1 ELSE n END AS n FROM ranked WHERE message_id IS NULL OR (place = 1 AND message_id NOT IN (SELECT message_id FROM keyed, middle WHERE timestamp_ns <= mid AND message_id IS NOT NULL))",
         "p5_found": _SAVES,
         "p5_replay": _SAVES,
     }

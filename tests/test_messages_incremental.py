@@ -60,6 +60,22 @@ def test_empty_and_only_nulls(spark, sent):
     assert messages.kept(sent.where("false")).count() == 0
 
 
+def test_names_of_identifiers_are_found_in_the_values(spark, sent):
+    assert messages.identifier_fields(sent) == ["txn_id", "message_id", "txnId"]
+    rows = [entry(i, i, {"own.id`s": f"TXN-{i // 2}", "about": f"TXN-{i}", "Own": "x"}) for i in range(20)] + [entry(50 + i, i, {"OWN": f"TXN-{i}", "about": f"TXN-{i + 1}"}) for i in range(9)]
+    df = spark.createDataFrame([*rows, entry(90, 90, {"Own": "TXN-0"})], ENTRIES)
+    assert messages.identifier_fields(df)[:1] == ["about"] or messages.identifier_fields(df) == ["own.id`s", "OWN", "Own"]
+    fields = ["own.id`s", "OWN", "Own"]
+    got = {r.entry_id: r.m for r in df.select("entry_id", messages.message_id(F.col("data"), fields).alias("m")).collect()}
+    assert got[3] == "TXN-1" and got[53] == "TXN-3" and got[90] == "TXN-0"
+    assert messages.identifier_fields(df.where("false")) == [] and df.select(messages.message_id(F.col("data"), []).alias("m")).where("m is null").count() == df.count()
+
+
+def test_a_sixth_name_loses_no_repeat(spark):
+    df = spark.createDataFrame([entry(i, i, {["txn_id", "ref_no"][i % 2]: f"TXN-{i // 4}"} | ({"reversal_of": "TXN-7"} if i % 5 == 0 else {})) for i in range(40)], ENTRIES)
+    assert messages.surplus(df).count() == 30
+
+
 def test_new_against_stored(spark, sent):
     stored = spark.createDataFrame([("TXN-1",), (None,), ("TXN-1",)], "message_id string")
     got = {r.message_id: r.entry_id for r in messages.deduplicate_new(stored, sent.where("message_id is null or entry_id <> 0")).where("message_id is not null").collect()}
@@ -227,7 +243,7 @@ def test_stream_without_repeats(spark, tmp_path):
         rows = [(e, t, json.dumps({"txn_id": f"TXN-{k}" if k else ""}).encode(), t) for e, k, t in part]
         spark.createDataFrame(rows, "entry_id long, timestamp_ns long, data binary, at long").withColumn("arrived", F.timestamp_seconds("at")).drop("at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"part={i}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "part=*"))
-    named = stream.withColumn("message_id", messages.message_id(F.col("data"))).where("message_id is not null")
+    named = stream.withColumn("message_id", messages.message_id(F.col("data"), ["txn_id"])).where("message_id is not null")
     query = deduplicated(named).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start(str(tmp_path / "out"))
     query.awaitTermination()
     got = [r.message_id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
