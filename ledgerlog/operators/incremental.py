@@ -202,22 +202,24 @@ class IncrementalJob:
 def landed(job: IncrementalJob, entries: DataFrame, sstables: DataFrame, manifests: DataFrame, steps: int) -> list[tuple[DataFrame, DataFrame]]:
     """(arrived rows, manifests) of so many runs of the job over a recorded history, in order.
 
-    The recorded saves are cut into ``steps`` of consecutive numbers.  What each run of the job finds new lies in a folder of its own,
-    as it would have come in, so a run opens no file of the runs before it.
+    The recorded saves of each log are cut into ``steps`` of consecutive numbers.  What each run of the job finds new
+    lies in a folder of its own, as it would have come in, so a run opens no file of the runs before it.
     """
     saves = committed_saves(manifests)
-    last = saves.agg(F.max("seq").alias("last")).first().last or 0
-    limits = [last * (k + 1) // steps for k in range(steps)]
-    uppers = saves.groupBy("log_id").agg(*(F.coalesce(F.max(F.when(F.col("seq") <= x, F.col("seq"))), F.lit(0)).alias(f"upper{k}") for k, x in enumerate(limits)))
+    last = saves.groupBy("log_id").agg(F.max("seq").alias("_last"))
+    within = lambda k: F.expr(f"_last * {k + 1} div {steps}")
+    reached = saves.join(last, "log_id")
+    uppers = reached.groupBy("log_id").agg(*(F.coalesce(F.max(F.when(F.col("seq") <= within(k), F.col("seq"))), F.lit(0)).alias(f"upper{k}") for k in range(steps)))
     rows = arrived(entries, visible_runs(sstables)).join(uppers, "log_id")
     step = F.coalesce(*(F.when(F.col("added") <= F.col(f"upper{k}"), F.lit(k)) for k in range(steps)))
     part = f"data/landed-{uuid.uuid4().hex}"
     columns = [f.split(" ")[0] for f in _ARRIVED.split(", ")]
     rows.withColumn("step", step).where("step is not null").select(*columns, "step").write.partitionBy("step").parquet(job.files.uri(part))
     out = []
-    for k, x in enumerate(limits):
+    for k in range(steps):
         there = job.files.exists(f"{part}/step={k}")
-        out.append((job._read(_ARRIVED, [f"{part}/step={k}"] if there else []), manifests.where(F.col("manifest_seq") <= x)))
+        known = manifests.join(last, "log_id").where(F.col("manifest_seq") <= within(k)).drop("_last")
+        out.append((job._read(_ARRIVED, [f"{part}/step={k}"] if there else []), known))
     return out
 
 
