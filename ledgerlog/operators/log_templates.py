@@ -17,42 +17,54 @@ from dataclasses import dataclass, field
 
 from .log_times import LEVELS, LETTERS, PATTERNS, SYSLOG, event_micros, level_of, time_of
 
-#: A head has at most so many symbols; the lines themselves are of any length.
+#: So many symbols of a line are looked at in any case, and more as long as no free text has come ...
 HEAD_SYMBOLS = 40
-#: A time further behind than this is part of a message.
+#: ... up to this bound of a head's length; the lines themselves are of any length.
+MOST_SYMBOLS = 400
+#: So many words one after the other are free text.
+FREE_WORDS = 3
+#: Before a time that is further behind than this stands a head only if it begins with a level, a priority or a bracket.
 TIME_WITHIN = 4
 #: Share of a key's values that must be of a kind for the key to be of it.
 PURE = 0.9
 
 WORD_PATTERN = r"[^\W\d][\w.\-/$@]*(?:::[\w.\-/$@]+)*"
 _UNNAMED = {name: re.sub(r"\?P<\w+>", "?:", p.pattern) for name, p in PATTERNS.items()}
-_LEXER = re.compile("|".join([*(f"(?P<T_{n}>(?<![\\w.]){p})" for n, p in _UNNAMED.items()), rf"(?P<WORD>{WORD_PATTERN})", r"(?P<NUM>\d+)", r"(?P<SP>[\ \t]+)", r"(?P<P>.)"]), re.VERBOSE | re.DOTALL)
+_TIMES = "|".join(f"(?P<T_{n}>{p})" for n, p in _UNNAMED.items())
+_LEXER = re.compile("|".join([rf"(?=[0-9A-Z])(?<![\w.])(?:{_TIMES})", rf"(?P<WORD>{WORD_PATTERN})", r"(?P<NUM>\d+)", r"(?P<SP>[\ \t]+)", r"(?P<P>.)"]), re.VERBOSE | re.DOTALL)
 _PRIORITY = re.compile(r"<(\d{1,3})>")
 _PAIR = re.compile(r'([A-Za-z_@][\w.@\-]*)=("(?:\\.|[^"\\])*"|[^\s"]*)(?:[ \t]+|$)')
 
 
-def symbols(line: str, most: int = HEAD_SYMBOLS) -> list[str]:
-    """The first symbols of a line's first physical line."""
+def symbols(line: str, least: int = HEAD_SYMBOLS) -> list[str]:
+    """The symbols of a line's first physical line, as far as a head can reach: until after ``least`` free text has come."""
     out: list[str] = []
     line = line.split("\n", 1)[0]
-    at = 0
+    at, words = 0, 0  # words that stand one after the other
     if m := _PRIORITY.match(line):
         out.append("PRI")
         at = m.end()
     for m in _LEXER.finditer(line, at):
-        kind = m.lastgroup or "P"
-        if kind == "P":
+        kind = m.lastgroup
+        if kind == "WORD":
+            if m[0].lower() in LEVELS:
+                kind = "LEVEL"
+            words += 1
+        elif kind == "P":
             kind = m[0]
-        elif kind == "WORD" and m[0].lower() in LEVELS:
-            kind = "LEVEL"
+            words = 0
+        elif kind != "SP":
+            words = 0
         out.append(kind)
-        if len(out) >= most:
+        if len(out) >= least and (words >= FREE_WORDS or len(out) >= MOST_SYMBOLS):
             break
     return out
 
 
 def time_at(sequence: list[str]) -> int | None:
-    return next((i for i, s in enumerate(sequence[:TIME_WITHIN]) if s.startswith("T_")), None)
+    """Where the time of a head stands in its symbols, or None where there is none that could be of a head."""
+    at = next((i for i, s in enumerate(sequence) if s.startswith("T_")), None)
+    return at if at is None or at < TIME_WITHIN or sequence[0] in ("LEVEL", "PRI", "[", "(", "<", "{") else None
 
 
 @dataclass
@@ -79,6 +91,10 @@ class Template:
 
 def common(a: Template, b: Template) -> Template:
     """The longest common subsequence of two templates, aligned from the left, with what lies between."""
+    same = next((i for i, (x, y) in enumerate(zip(a.items, b.items)) if x != y), min(len(a.items), len(b.items)))
+    if same:  # what both begin with is common
+        rest = common(Template(a.items[same:], a.gaps[same:]), Template(b.items[same:], b.gaps[same:]))
+        return Template(a.items[:same] + rest.items, [x | y for x, y in zip(a.gaps[:same], b.gaps[:same])] + rest.gaps, a.count + b.count)
     n, m = len(a.items), len(b.items)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):

@@ -40,6 +40,8 @@ SYSLOG = ["FATAL", "FATAL", "FATAL", "ERROR", "WARN", "INFO", "INFO", "DEBUG"]
 NUMBERED = {10: "TRACE", 20: "DEBUG", 30: "INFO", 40: "WARN", 50: "ERROR", 60: "FATAL"}
 
 _EPOCH = dt.datetime(1970, 1, 1)
+#: What a notation can end with: a digit, or the last letter of a zone or of AM and PM.
+_TIME_ENDS = frozenset("0123456789ZCTM")
 
 
 def level_of(word: object) -> str:
@@ -89,8 +91,10 @@ def event_micros(match: re.Match, near_ns: int | None) -> int | None:
         return None
     near = near_ns // 1000
     year = (_EPOCH + dt.timedelta(microseconds=near)).year
-    # 29 February needs a leap year, which can be some years off
-    known = [t for y in range(max(1, year - 8), min(9999, year + 8) + 1) if (t := at(y)) is not None]
+    for around in (1, 8):  # 29 February needs a leap year, which can be some years off
+        known = [t for y in range(max(1, year - around), min(9999, year + around) + 1) if (t := at(y)) is not None]
+        if known:
+            break
     return min(known, key=lambda t: (abs(t - near), t), default=None)
 
 
@@ -101,6 +105,8 @@ def time_of(value: object, near_ns: int | None = None) -> int | None:
     if isinstance(value, float):
         return round(value * 1_000_000) if 1e9 <= value < 1e10 else None
     text = str(value).strip()
+    if len(text) < 10 or text[-1] not in _TIME_ENDS:
+        return None
     for p in PATTERNS.values():
         if m := p.fullmatch(text):
             return event_micros(m, near_ns)

@@ -15,6 +15,10 @@ from .log_templates import Keys, Parser, Template, arranged, cluster, head, key_
 from .payload import origin_tag, split_tag
 
 
+#: Templates that one task merges, and up to which the driver does.
+MERGED = 1024
+
+
 def _text_of(data: bytes | None) -> tuple[bytes, str]:
     tag, payload = split_tag(data or b"")
     return tag, payload.decode("utf-8", "replace")
@@ -24,7 +28,8 @@ def mine(entries: DataFrame) -> tuple[list[Template], dict[str, Keys]]:
     """Templates and classified keys of all entries.
 
     Every batch clusters its own lines and hands on a few templates; those of one anchor (the symbols up to the time)
-    are merged in one group, and only the merged ones, a few per notation, come to the driver.  Keys of structured
+    are merged in groups of bounded size, round by round, until few are left, which come to the driver and are merged
+    there.  Keys of structured
     lines are classified where they are counted, however rare; only the names of those that a record needs come.
     """
 
@@ -46,7 +51,7 @@ def mine(entries: DataFrame) -> tuple[list[Template], dict[str, Keys]]:
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
         merged = cluster(Template.loads(r.value, int(r.n)) for r in frame.itertuples())
-        return pd.DataFrame([(t.dumps(), t.count) for t in merged], columns=["value", "n"])
+        return pd.DataFrame([(t.anchor, t.dumps(), t.count) for t in merged], columns=["key", "value", "n"])
 
     def kinds(batches):
         for batch in batches:
@@ -57,12 +62,17 @@ def mine(entries: DataFrame) -> tuple[list[Template], dict[str, Keys]]:
 
     partial = entries.select(F.col("data").cast("binary")).mapInArrow(run, "form string, key string, value string, n bigint").groupBy("form", "key", "value").agg(F.sum("n").alias("n"))
     partial = cut_lineage(partial)  # a few rows a batch, read twice
-    templates = partial.where("form = 'template'").groupBy("key").applyInPandas(merge, "value string, n bigint").collect()
+    templates, before = partial.where("form = 'template'").select("key", "value", "n"), None
+    while (left := templates.count()) > MERGED and left != before:
+        part = F.pmod(F.xxhash64("value"), F.lit(2 * left // MERGED))
+        templates = cut_lineage(templates.groupBy("key", part).applyInPandas(merge, "key string, value string, n bigint"))
+        before = left
+    templates = cluster(Template.loads(r.value, r.n) for r in templates.collect())
     counts = partial.where("form <> 'template' and key <> ''").groupBy("form", "key").agg(F.map_from_entries(F.collect_list(F.struct("value", "n"))).alias("counts"))  # six at most
     by: dict[str, list] = {}
     for r in counts.mapInArrow(kinds, "form string, key string, kind string, n bigint").collect():
         by.setdefault(r.form, []).append((r.key, r.kind, r.n))
-    return [Template.loads(r.value, r.n) for r in templates], {form: arranged(k) for form, k in by.items()}
+    return templates, {form: arranged(k) for form, k in by.items()}
 
 
 def _pieces(entries: DataFrame, parser: Parser) -> DataFrame:

@@ -191,3 +191,23 @@ def test_keys_of_rare_layouts_are_kept(spark):
     assert len(got) == 12_010
     for first in (10_000, 30_000):
         assert [got[first + i] for i in range(5)] == [(1767056681080000 + 1000 * i, "WARN", "pump", f"two words {i}") for i in range(5)]
+
+
+def test_long_heads_and_late_times():
+    long = [f"[{'|'.join(f'p.q{k}:{k}' for k in range(12))}] 2025-12-30T01:04:4{i % 10}Z INFO app.main: {w}" for i, w in enumerate(WORDS)]
+    late = [f"2025-12-30T01:04:4{i % 10}Z [{'|'.join(f'p.q{k}:{k}' for k in range(12))}] WARN app.main: {w}" for i, w in enumerate(WORDS)]
+    led = [f"INFO app.main worker {i} 2025-12-30T01:04:4{i % 10}Z: {w}" for i, w in enumerate(WORDS)]
+    for lines, level in ((long, "INFO"), (late, "WARN"), (led, "INFO")):
+        p = Parser(mined(lines), {})
+        got = [p.parse(x, NS) for x in lines]
+        assert [(h.level, h.message) for h in got] == [(level, w) for w in WORDS]
+        assert level == "INFO" and lines is led or {h.component for h in got} == {"app.main"}
+    assert Parser(mined(led), {}).parse("it went wrong at 7 or so, 2025-12-30T01:04:41Z: who knows", NS) is None
+
+
+def test_merging_in_rounds_is_merging(spark, monkeypatch):
+    rows, _ = story(3, n=400)
+    df = spark.createDataFrame(make(rows), SCHEMA).repartition(40)
+    one = sorted(head(t).dumps() for t in logs.mine(df)[0])
+    monkeypatch.setattr(logs, "MERGED", 8)
+    assert sorted(head(t).dumps() for t in logs.mine(df)[0]) == one
