@@ -1,4 +1,9 @@
-"""Mixing of sources to target weights by Pareto order sampling."""
+"""Mixing of sources to target weights by Pareto order sampling.
+
+Documents weigh differently, so their expected numbers of copies do: a source's rate times the weight, up to the cap on
+repeats.  The rate is set so that the expected tokens are those the source is to have, also where many documents are at
+the cap: tokens are summed by bucket of weight, and the bucket is looked for in which they are reached.
+"""
 
 from __future__ import annotations
 
@@ -50,12 +55,31 @@ def _uniform(key: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
 
 
-def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: float | None = None, weight: str | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+def _rates(counted: DataFrame, steps: DataFrame) -> DataFrame:
+    """(source, rate): expected copies are least(rate * weight, cap) and their tokens what the source is to take.
+
+    With weights in buckets of 1/64 of a power of two, let the buckets from the heaviest down be at the cap: what the
+    source takes beyond them, over the weighted tokens of the others, is the rate, as long as it does bring no further bucket to the
+    cap and leaves none of these below it.  At most some thousands of rows a source, whatever the corpus is.
+    """
+    bucket = F.floor(F.log2("weight") * 64)
+    sums = counted.withColumn("bucket", bucket).groupBy("source", "bucket").agg(F.sum("tokens").alias("t"), F.sum(F.col("tokens") * F.col("weight")).alias("tw"), F.max("weight").alias("top"))
+    heavier = Window.partitionBy("source").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("source")
+    sums = sums.withColumns({"capped": F.coalesce(F.sum("t").over(heavier), F.lit(0)), "rest": F.sum("tw").over(whole) - F.coalesce(F.sum("tw").over(heavier), F.lit(0.0))})
+    both = sums.join(steps, "source")
+    # with all heavier buckets at the cap, the rate that the others need; the first at which this bucket stays below it
+    rate = (F.col("take_tokens") - F.col("max_repeats") * F.col("capped")) / F.col("rest")
+    both = both.withColumn("rate", rate).withColumn("fits", F.col("rate") * F.col("top") <= F.col("max_repeats"))
+    return both.groupBy("source").agg(F.coalesce(F.max_by("rate", F.when(F.col("fits"), F.col("bucket"))), F.max(F.col("max_repeats") / F.pow(F.lit(2.0), F.col("bucket") / 64))).alias("rate"))
+
+
+def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: float | None = None, weight: Column | str | None = None, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(id, source, tokens, copies): how often each document goes into the corpus; documents left out have no row.
 
-    A document's expected number of copies is its source's ``times``, or that times ``weight`` (a positive number
-    per document, 1 if null) over the source's token-weighted mean.  Whole copies are certain; the fraction is the
-    document's inclusion probability p.  Documents are ordered by u / (1 - u) over p / (1 - p), u being uniform by
+    ``weight`` is a positive number per document (a column's name, or an expression on the documents; 1 if null): a document's
+    expected number of copies is a rate of its source times that, at most ``max_repeats``.  Whole copies are
+    certain; the fraction is the document's inclusion probability p.  Documents are ordered by u / (1 - u) over p / (1 - p), u being uniform by
     hash of the id, and taken from the front until the source has its tokens (Pareto order sampling, the sample
     size being fixed in tokens: it misses by less than one document).  No document exceeds ``max_repeats``.
     Documents without text, without tokens or of a source without target are not taken; of rows with one id each
@@ -64,15 +88,18 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: float | None
     The order is cut without sorting a source: tokens are summed by slice of the order's range, then only the
     slice at the boundary is ranked.
     """
-    keep = (id_col, source_col, *([weight] if weight else []))
-    counted = count_tokens(documents, text_col, vocabulary, keep)
-    counted = counted.select(F.col(id_col).alias("doc"), source_name(F.col(source_col)).alias("source"), "tokens", (F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)).alias("weight")).where("source is not null and tokens > 0 and weight > 0")
+    given = F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight).cast("double")
+    plain = documents.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.coalesce(given, F.lit(1.0)).alias("weight"))
+    counted = count_tokens(plain, "text", vocabulary, ("doc", "source", "weight"))
+    counted = counted.select("doc", source_name(F.col("source")).alias("source"), "tokens", "weight").where("source is not null and tokens > 0 and weight > 0 and weight < double('infinity')")
     counted = cut_lineage(counted)  # a few bytes a document, read several times
-    sizes = counted.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"), F.sum(F.col("tokens") * F.col("weight")).alias("weighed"))
-    steps = plan(sizes, targets, total_tokens).where("times > 0").select("source", "max_repeats", "take_tokens", (F.col("take_tokens") / F.col("weighed")).alias("rate"))
+    sizes = counted.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
+    steps = plan(sizes, targets, total_tokens).where("times > 0").select("source", "max_repeats", "take_tokens")
+    steps = steps.join(_rates(counted, steps), "source")
     # The plan has a row per source of the targets, so it is a small side whatever the corpus is; AQE sees its size.
     placed = counted.join(steps, "source")
     expected = F.least(F.col("rate") * F.col("weight"), F.col("max_repeats").cast("double"))
+    expected = F.when(expected > F.col("max_repeats") - 1e-9, F.col("max_repeats").cast("double")).otherwise(expected)
     placed = placed.withColumns({"sure": F.floor(expected).cast("int"), "p": expected - F.floor(expected)})
     u = _uniform(F.col("doc"), seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))

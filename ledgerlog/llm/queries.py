@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe, mixing, repetition, tokenize
 
@@ -21,7 +22,9 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"), vocabulary=VOCABULARY)
+    """Longer texts are likelier, by the root of their length, so that a source is not made of its shortest ones."""
+    weight = F.sqrt(F.length("text"))
+    return mixing.mix(_table(spark, folder, "documents"), _table(spark, folder, "mix_targets"), weight=weight, vocabulary=VOCABULARY)
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
@@ -23,6 +26,23 @@ def _text_blocks(column: pa.Array):
         yield a, b, (b"" if data is None else memoryview(data)[offsets[0] : offsets[-1]].tobytes()), lengths[a:b]
 
 
+_sent: set[tuple[str, str]] = set()
+
+
+def sent(spark: SparkSession, vocabulary: str) -> None:
+    """Has the executors get the vocabulary's file from the driver, once per application: they need not have it."""
+    context = spark.sparkContext
+    if os.path.exists(vocabulary) and (context.applicationId, vocabulary) not in _sent:
+        context.addFile(vocabulary)
+        _sent.add((context.applicationId, vocabulary))
+
+
+def received(vocabulary: str) -> str:
+    """In a task, where the vocabulary's file is."""
+    there = SparkFiles.get(os.path.basename(vocabulary))
+    return there if os.path.exists(there) else vocabulary
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` in as many tasks as there are cores, if they lie in fewer files than that and are cut into few pieces.
 
@@ -44,9 +64,10 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table lies in fewer pieces than there are cores.
     """
     id_type = documents.schema[id_col].dataType.simpleString()
+    sent(documents.sparkSession, vocabulary)
 
     def run(batches):
-        encoder = bpe.encoder(vocabulary)
+        encoder = bpe.encoder(received(vocabulary))
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for a, b, data, lengths in _text_blocks(texts):
@@ -63,9 +84,10 @@ def encode(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def count_tokens(documents: DataFrame, text_col: str = "text", vocabulary: str = bpe.DEFAULT_VOCABULARY, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns ``keep`` and tokens BIGINT, the number of tokens of each row's text (0 for null and empty)."""
     fields = ", ".join(f"`k{i}` {documents.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    sent(documents.sparkSession, vocabulary)
 
     def run(batches):
-        encoder = bpe.encoder(vocabulary)
+        encoder = bpe.encoder(received(vocabulary))
         for batch in batches:
             counts = [encoder.encode_block(data, lengths, ids=False)[1] for _, _, data, lengths in _text_blocks(batch.column(0))]
             total = np.concatenate(counts) if counts else np.zeros(0, np.int64)

@@ -92,3 +92,28 @@ def test_corpus_has_every_copy(spark):
     mixed = mixing.mix(docs, targets)
     whole = mixing.corpus(docs, mixed).collect()
     assert Counter(r.doc_id for r in whole) == {d: c for d, _, _, c in taken(mixed)} and all(r.text.startswith("word ") and r.copy >= 1 for r in whole)
+
+
+def test_rates_fill_up_to_the_cap(spark):
+    """Expected copies are least(rate * weight, cap), and their tokens what was asked for."""
+    docs = corpus(spark, {"a": 300}, words=30).withColumn("w", F.exp(F.pmod("doc_id", F.lit(50)) / 10.0))
+    targets = spark.createDataFrame([("a", 1.0, 2)], TARGETS)
+    every = {r.doc_id: r.w for r in docs.collect()}
+    sizes = {d: t for d, _, t, _ in taken(mixing.mix(docs, targets))}
+    assert len(sizes) == 300
+    total = sum(sizes.values())
+    for part in (0.3, 1.0, 1.7, 1.999):
+        got = {d: c for d, _, _, c in taken(mixing.mix(docs, targets, total_tokens=part * total, weight="w"))}
+        low, high = 0.0, 1e6
+        for _ in range(200):  # the rate by bisection
+            rate = (low + high) / 2
+            low, high = (rate, high) if sum(t * min(2.0, rate * every[d]) for d, t in sizes.items()) < part * total else (low, rate)
+        for d in every:
+            assert abs(got.get(d, 0) - min(2.0, rate * every[d])) < 1.08 and got.get(d, 0) <= 2
+        assert abs(sum(sizes[d] * c for d, c in got.items()) - part * total) < 60
+
+
+def test_a_source_at_its_cap_gives_all(spark):
+    docs = corpus(spark, {"a": 100, "b": 10}).withColumn("w", F.col("doc_id") + 1.0)
+    got = taken(mixing.mix(docs, spark.createDataFrame([("a", 0.5, 9), ("b", 0.5, 3)], TARGETS), weight=F.sqrt("w")))
+    assert [c for _, s, _, c in got if s == "b"] == [3] * 10
