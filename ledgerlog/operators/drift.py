@@ -42,22 +42,23 @@ def json_kind(value: object) -> str:
 
 
 def _paths(value: dict, prefix: str = "") -> list[str]:
-    """`path kind` of every non-null name, nested ones after their parent."""
+    """`kind path` of every non-null name, nested ones after their parent; a whole number beyond BIGINT is `large`."""
     out = []
     for name, x in value.items():
         if x is None:
             continue
         path = f"{prefix}{_SEP}{name}" if prefix else name
-        out.append(f"{json_kind(x)} {path}")
+        out.append(f"{'large' if type(x) is int and not -(1 << 63) <= x < 1 << 63 else json_kind(x)} {path}")
         if isinstance(x, dict):
             out += _paths(x, path)
     return out
 
 
-def file_fields(entries: DataFrame) -> DataFrame:
-    """(file_id, path, kind, n, of): the schema of each file, with how many of its objects hold the field.
+def file_fields(entries: DataFrame, every_kind: bool = False) -> DataFrame:
+    """(file_id, path, kind, n): the schema of each file, with how many of its objects hold the field.
 
-    A field of several kinds in one file has the most frequent, of equally frequent ones the first by name.
+    A field of several kinds in one file has the most frequent, of equally frequent ones the first by name; with
+    ``every_kind`` a row for each, and whole numbers beyond BIGINT are `large` ones.
     Objects are reduced to their set of paths and counted before the shuffle, so a hot file is as cheap as any.
     """
 
@@ -75,6 +76,9 @@ def file_fields(entries: DataFrame) -> DataFrame:
     sets = sets.groupBy("file_id", "paths").agg(F.sum("n").alias("n"))
     each = sets.select("file_id", "n", F.explode(F.split("paths", "\n")).alias("p")).where("p <> ''")  # an object can be empty
     each = each.groupBy("file_id", F.substring_index("p", " ", 1).alias("kind"), F.expr("substring(p, locate(' ', p) + 1)").alias("path")).agg(F.sum("n").alias("n"))
+    if every_kind:
+        return each
+    each = each.withColumn("kind", F.when(F.col("kind") == "large", "integer").otherwise(F.col("kind"))).groupBy("file_id", "kind", "path").agg(F.sum("n").alias("n"))
     best = each.groupBy("file_id", "path").agg(F.max_by("kind", F.struct("n", F.expr("-ascii(kind)"))).alias("kind"), F.sum("n").alias("n"))
     return best
 
@@ -226,38 +230,123 @@ def canonical_names(renames: list[tuple[str, str, int]], together: set[tuple[str
     return {n: best[id(s)] for n, s in members.items()}
 
 
-def unified(entries: DataFrame, files: DataFrame) -> DataFrame:
-    """One table of all files: entry_id, file_id and one STRING column per field, in order of name.
+def field_classes(uses: dict[tuple[str, str], dict[str, int]], renames: dict[str, list[tuple[str, str, int]]], together: dict[str, set[tuple[str, str]]]) -> dict[tuple[str, str], tuple[str, str]]:
+    """Of each (feed, name) the class, as the (feed, name) that it is used under most.
 
-    Scripts are compiled into one projection: names connected by renames become one column, called by its most used
-    name; nested and retyped values are their JSON text, strings stand as they are; null where an object lacks the
-    field.  Every JSON object gives a row; names become columns `f_…` with characters other than letters, digits
-    and `_` replaced, so they can't clash with the keys.  The list of names comes to the driver (it is the schema).
+    ``uses``: how often the name holds a value of each kind.  Within a feed the names that its renames connect are one field.
+    A name that two feeds use is one field too, unless that would put two names into one class that stand in one
+    file of some feed: then it has two meanings, and stays two fields.
     """
-    fields = file_fields(entries).where(~F.contains("path", F.lit(_SEP)))
-    fields = cut_lineage(fields)
-    uses = {r.path: r.n for r in fields.groupBy("path").agg(F.sum("n").alias("n")).collect()}
-    renames = [(r.old_field, r.new_field, r.n) for r in top_level_changes(entries, files).where("change = 'renamed'").groupBy("old_field", "new_field").agg(F.count("*").alias("n")).collect()]
-    named = {x for r in renames for x in r[:2]}
-    involved = fields.where(F.col("path").isin(sorted(named))).select("file_id", "path")
-    pairs = involved.groupBy("file_id").agg(F.array_sort(F.collect_set("path")).alias("s")).select("s").distinct().collect() if named else []
-    together = {(x, y) for r in pairs for i, x in enumerate(r.s) for y in r.s[i + 1 :]}
-    canonical = canonical_names(renames, together, uses)
-    targets = sorted(set(canonical.values()))
-    column = {t: "f_" + "".join(c if c.isalnum() or c == "_" else "_" for c in t) for t in targets}
-    of = {n: column[t] for n, t in canonical.items()}
-    names = sorted(set(column.values()))
+    count = {node: sum(kinds.values()) for node, kinds in uses.items()}
+    feeds = {feed for feed, _ in uses}
+    apart = {(feed, frozenset(p)) for feed, pairs in together.items() for p in pairs}
+    members: dict[tuple[str, str], set[tuple[str, str]]] = {}
+    for feed in sorted(feeds):
+        own = {name: n for (f, name), n in count.items() if f == feed}
+        for name, best in canonical_names(renames.get(feed, []), together.get(feed, set()), own).items():
+            if (feed, name) in uses:
+                members.setdefault((feed, best), set()).add((feed, name))
+    whose = {node: group for group in members.values() for node in group}
+    by_name: dict[str, list[tuple[str, str]]] = {}
+    for node in sorted(count, key=lambda x: (-count[x], x)):
+        by_name.setdefault(node[1], []).append(node)
+    for nodes in by_name.values():
+        for k, b in enumerate(nodes):
+            for a in nodes[:k]:
+                x, y = whose[a], whose[b]
+                if x is y:
+                    break
+                if any(f == g and (f, frozenset((m, n))) in apart for f, m in x for g, n in y):
+                    continue
+                x |= y
+                for node in y:
+                    whose[node] = x
+                break
+    best = {id(group): min(group, key=lambda n: (-count[n], n)) for group in whose.values()}
+    return {node: best[id(group)] for node, group in whose.items()}
+
+
+def _column_type(kinds: set[str]) -> str:
+    if kinds == {"boolean"}:
+        return "boolean"
+    if kinds == {"integer"}:
+        return "bigint"
+    return "double" if kinds and kinds <= {"integer", "number"} else "string"
+
+
+_NOWHERE = -(1 << 63)
+
+
+def unified(entries: DataFrame, files: DataFrame, typed: bool = False) -> DataFrame:
+    """One table of all files: entry_id, file_id and one column per field, in order of name.
+
+    Scripts are compiled into a projection for every feed: names connected by its renames become one column, called by
+    its most used name, and so do names that feeds share, unless they mean two things (see ``field_classes``).  Columns
+    are STRING; nested and retyped values are their JSON text, strings stand as they are; with ``typed`` a field
+    that only ever held whole numbers is BIGINT, numbers DOUBLE, truth values BOOLEAN (one with a number beyond BIGINT stays
+    STRING).  Null where an object lacks the field.  Every JSON object gives a row, also one without file.  Names become
+    columns `f_…` with characters other than letters, digits and `_` replaced, numbered where two would be one, so they can't
+    clash with the keys.  The names come to the driver (they are the schema).
+    """
+    placed = entries.select(F.col("entry_id").cast("bigint"), F.coalesce(F.col("file_id").cast("bigint"), F.lit(_NOWHERE)).alias("file_id"), F.col("data").cast("binary"))
+    feeds = files.where("feed is not null and file_seq is not null and file_id is not null").groupBy("file_id").agg(F.min(F.struct("feed", "file_seq"))["feed"].alias("feed"))
+    fields = file_fields(placed, every_kind=True).where(~F.contains("path", F.lit(_SEP)))
+    fields = cut_lineage(fields.join(feeds, "file_id", "left").fillna("", ["feed"]))
+    uses: dict[tuple[str, str], dict[str, int]] = {}
+    for r in fields.groupBy("feed", "path", "kind").agg(F.sum("n").alias("n")).collect():
+        uses.setdefault((r.feed, r.path), {})[r.kind] = r.n
+    renames: dict[str, list] = {}
+    renamed = top_level_changes(entries, files).where("change = 'renamed'").join(feeds, "file_id")
+    for r in renamed.groupBy("feed", "old_field", "new_field").agg(F.count("*").alias("n")).collect():
+        renames.setdefault(r.feed, []).append((r.old_field, r.new_field, r.n))
+    named = sorted({x for some in renames.values() for r in some for x in r[:2]})
+    together: dict[str, set] = {}
+    if named:
+        sets = fields.where(F.col("path").isin(named)).groupBy("feed", "file_id").agg(F.array_sort(F.collect_set("path")).alias("s"))
+        for r in sets.select("feed", "s").distinct().collect():
+            together.setdefault(r.feed, set()).update((x, y) for i, x in enumerate(r.s) for y in r.s[i + 1 :])
+    classes = field_classes(uses, renames, together)
+    column: dict[tuple[str, str], str] = {}
+    for target in sorted(set(classes.values()), key=lambda x: (x[1], x[0])):
+        plain = name = "f_" + "".join(c if c.isalnum() or c == "_" else "_" for c in target[1])
+        number = 1
+        while name.lower() in {c.lower() for c in column.values()}:
+            number += 1
+            name = f"{plain}_{number}"
+        column[target] = name
+    of = {node: column[target] for node, target in classes.items()}
+    names = sorted(column.values())
+    kinds: dict[str, set[str]] = {n: set() for n in names}
+    for node, some in uses.items():
+        kinds[of[node]] |= some.keys()
+    types = {n: _column_type(kinds[n]) if typed else "string" for n in names}
+    arrow = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    by_name = {name: c for (_, name), c in of.items()}
+    split = any(by_name[name] != c for (_, name), c in of.items())
+
+    def shown(x: object, kind: str) -> object:
+        if kind == "string":
+            return x if isinstance(x, str) else json.dumps(x, ensure_ascii=False, sort_keys=True)
+        return float(x) if kind == "double" else x
 
     def run(batches):
         for batch in batches:
             entry, file, out = [], [], []
-            for e, f, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for e, f, data, feed in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 value = parse_object(data)
                 if value is not None:
                     entry.append(e)
-                    file.append(f)
-                    out.append({of[k]: x if isinstance(x, str) else json.dumps(x, ensure_ascii=False, sort_keys=True) for k, x in value.items() if x is not None and k in of})
-            yield pa.RecordBatch.from_arrays([pa.array(entry, pa.int64()), pa.array(file, pa.int64()), *(pa.array([o.get(n) for o in out], pa.string()) for n in names)], names=["entry_id", "file_id", *names])
-
-    picked = entries.where("file_id is not null").select(F.col("entry_id").cast("bigint"), F.col("file_id").cast("bigint"), F.col("data").cast("binary"))
-    return picked.mapInArrow(run, "entry_id bigint, file_id bigint" + "".join(f", `{n}` string" for n in names))
+                    file.append(None if f == _NOWHERE else f)
+                    row = {}
+                    for k, x in value.items():
+                        if x is not None and (c := of[feed, k] if split else by_name[k]):
+                            row[c] = shown(x, types[c])
+                    out.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(entry, pa.int64()), pa.array(file, pa.int64()), *(pa.array([o.get(n) for o in out], arrow[types[n]]) for n in names)], names=["entry_id", "file_id", *names])
+
+    if split:  # some name means two things: a row needs its feed
+        side = F.broadcast(feeds) if feeds.count() <= _BROADCAST_FILES else feeds
+        placed = placed.join(side, "file_id", "left").select("entry_id", "file_id", "data", F.coalesce("feed", F.lit("")).alias("feed"))
+    else:
+        placed = placed.withColumn("feed", F.lit(""))
+    return placed.mapInArrow(run, "entry_id bigint, file_id bigint" + "".join(f", `{n}` {types[n]}" for n in names))

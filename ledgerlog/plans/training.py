@@ -30,7 +30,7 @@ def p2_scripts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_table(spark: SparkSession, folder: str) -> DataFrame:
-    return drift.unified(table(spark, folder, "txn_entries"), table(spark, folder, "feed_files"))
+    return drift.unified(table(spark, folder, "txn_entries"), table(spark, folder, "feed_files"), typed=True)
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

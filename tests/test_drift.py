@@ -169,3 +169,24 @@ def test_nested_renames_and_moves(spark):
     files = spark.createDataFrame([(1, "f", 1, None, 0, 0), (2, "f", 2, None, 0, 0)], FILES)
     assert sorted(tuple(r) for r in drift.changes(entries, files).collect()) == [(2, "moved", "a.x", "b.x", 2), (2, "renamed", "meta.deep.code", "meta.deep.ref", 3), (2, "renamed", "meta.os", "meta.platform", 2)]
     assert drift.top_level_changes(entries, files).count() == 0
+
+
+def test_a_name_with_two_meanings_is_two_fields(spark):
+    one = [(1, {"code": f"TXN-{i:04d}", "ok": True}) for i in range(20)] + [(2, {"ref": f"TXN-{i:04d}", "ok": True}) for i in range(20, 40)]
+    two = [(3, {"code": f"TXN-{i:04d}", "ref": i}) for i in range(20)] + [(4, {"code": f"TXN-{i:04d}", "ref": i + 0.5}) for i in range(20, 40)]
+    odd = [(None, {"code": "TXN-x"}), *((k, {"a-b": 1, "a.b": 2, "a_b": 3}) for k in (3, 4)), (3, {"wide": 1 << 70}), (4, {"wide": 1})]
+    entries = spark.createDataFrame(rows(one + two + odd), ENTRIES)
+    files = spark.createDataFrame([(1, "f", 1, None, 0, 0), (2, "f", 2, None, 0, 0), (3, "g", 1, None, 0, 0), (4, "g", 2, None, 0, 0)], FILES)
+    for most in (0, 100_000):
+        drift._BROADCAST_FILES, kept = most, drift._BROADCAST_FILES
+        table = drift.unified(entries, files, typed=True)
+        got = table.collect()
+        drift._BROADCAST_FILES = kept
+        kinds = dict(table.dtypes)
+        assert len(got) == 85 and {kinds[c] for c in ("f_a_b", "f_a_b_2", "f_a_b_3")} == {"bigint"} and kinds["f_ok"] == "boolean" and kinds["f_wide"] == "string"
+        ident = "f_code"
+        assert {r[ident][:4] for r in got if r.file_id in (1, 2, 3, 4) and r[ident]} == {"TXN-"} and sum(r[ident] is not None for r in got) == 81
+        (other,) = [c for c in table.columns if c.startswith("f_ref")]
+        assert kinds[other] == "double" and sorted(r[other] for r in got if r[other] is not None)[:2] == [0.0, 1.0] and sum(r[other] is not None for r in got) == 40
+        assert sorted(str(r.f_wide) for r in got if r.f_wide) == ["1", str(1 << 70)]
+    assert {r.kind for r in drift.file_fields(entries).where("path = 'wide'").collect()} == {"integer"}
