@@ -16,6 +16,8 @@ from .tokenize import count_tokens
 
 #: Equal slices of the order's range that are counted before the boundary slice is ranked.
 SLICES = 1 << 16
+#: A plan of so many sources at most goes to every task.
+SOURCES = 10_000
 
 
 def source_name(column: Column) -> Column:
@@ -55,6 +57,11 @@ def _uniform(key: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """For a join: goes to every task if its size, which is looked at, allows."""
+    return F.broadcast(rows) if rows.count() <= SOURCES else rows
+
+
 def _rates(counted: DataFrame, steps: DataFrame) -> DataFrame:
     """(source, rate): expected copies are least(rate * weight, cap) and their tokens what the source is to take.
 
@@ -95,8 +102,9 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: float | None
     counted = cut_lineage(counted)  # a few bytes a document, read several times
     sizes = counted.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens"))
     steps = plan(sizes, targets, total_tokens).where("times > 0").select("source", "max_repeats", "take_tokens")
-    steps = steps.join(_rates(counted, steps), "source")
-    # The plan has a row per source of the targets, so it is a small side whatever the corpus is; AQE sees its size.
+    # The plan has a row per source of the targets, so it is a small side whatever the corpus is.
+    steps = cut_lineage(steps)
+    steps = _small(cut_lineage(steps.join(_rates(counted, steps), "source")))
     placed = counted.join(steps, "source")
     expected = F.least(F.col("rate") * F.col("weight"), F.col("max_repeats").cast("double"))
     expected = F.when(expected > F.col("max_repeats") - 1e-9, F.col("max_repeats").cast("double")).otherwise(expected)
@@ -114,7 +122,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: float | None
     cuts = cuts.withColumn("crosses", (F.col("before") < F.col("rest")) & (F.col("before") + F.col("slice_tokens") >= F.col("rest")))
     # One row per source: the slice in which the tokens are reached, and what is still to take in it.
     cut = cuts.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("crosses"), F.col("slice"))), F.when(F.max("rest") > 0, F.lit(SLICES)).otherwise(F.lit(-1))).alias("cut"), F.max(F.when(F.col("crosses"), F.col("rest") - F.col("before"))).alias("left"))
-    marked = placed.join(cut, "source")
+    marked = placed.join(_small(cut_lineage(cut)), "source")
     front = marked.where("slice <> cut").withColumn("extra", (open_ & (F.col("slice") < F.col("cut"))).cast("int"))
     order = Window.partitionBy("source").orderBy("place", "doc", "tokens").rowsBetween(Window.unboundedPreceding, -1)  # one slice of a source
     edge = marked.where("slice = cut").withColumn("extra", (open_ & (F.coalesce(F.sum(F.when(open_, F.col("tokens")).otherwise(0)).over(order), F.lit(0)) + F.col("tokens") / 2 <= F.col("left"))).cast("int"))
