@@ -63,7 +63,8 @@ def _exits(total: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, n
 
     (steps, held after, flushes): with h bytes held before, the first step that is at least threshold - h applies; if
     there is none, nothing is flushed.  Only entries within the first threshold bytes can be the first to flush, and
-    chains that meet go on as one.
+    chains that meet go on as one; neighbouring steps that lead to the same end are one step, so few are left of a range
+    that flushes often, however many entries a memtable holds.
     """
     last = min(len(total), int(np.searchsorted(total, threshold)) + 1)
     at, flushes = np.arange(last), np.ones(last, np.int64)
@@ -75,7 +76,9 @@ def _exits(total: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, n
         going, ahead = going[on], ahead[on]
         at[going] = ahead
         flushes[going] += 1
-    return total[:last], total[-1] - total[at] if len(total) else at, flushes
+    left = total[-1] - total[at] if len(total) else at
+    ends = np.r_[(left[1:] != left[:-1]) | (flushes[1:] != flushes[:-1]), np.ones(min(1, last), bool)]
+    return total[:last][ends], left[ends], flushes[ends]
 
 
 def flush_segments(log: DataFrame, threshold: int, stream: Sequence[str] = ()) -> DataFrame:

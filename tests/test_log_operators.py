@@ -157,3 +157,17 @@ def test_a_loss_in_one_log_is_no_other_logs(spark):
     got = {r.log_id: (r.passed, r.missing) for r in reports.verdicts(durable, recovered, ["log_id"], FlushMode.CAUTIOUS, previous).collect()}
     assert got == {1: (False, 0), 2: (False, 1)}
     assert {r.passed for r in reports.verdicts(durable, recovered, ["log_id"], FlushMode.NORMAL).collect()} == {True}
+
+
+def test_steps_that_lead_to_one_end_are_one():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    total = np.cumsum(rng.integers(9, 300, 200_000))
+    steps, left, flushes = sequence._exits(total, 1 << 20)
+    assert len(steps) < 400  # of some seven thousand entries that could be the first to flush
+    for held in (0, 1, 77, 5000, (1 << 20) - 1, 600_000):
+        cuts = sequence._chain(total, held, 1 << 20)
+        k = int(np.searchsorted(steps, (1 << 20) - held))
+        assert (left[k], flushes[k]) == (total[-1] - total[cuts[-1]], len(cuts))
+    assert [len(x) for x in sequence._exits(np.zeros(0, np.int64), 10)] == [0, 0, 0]

@@ -9,7 +9,6 @@ from hypothesis import strategies as st
 from ledgerlog import timeparse
 from ledgerlog.operators import rejects
 from ledgerlog.operators.log_templates import parse_pairs, symbols
-from ledgerlog.operators.messages import IDENTIFIER_FIELDS
 from ledgerlog.operators.schema_tree import Node, script
 from ledgerlog.sources.lines import trim_bytes
 
@@ -69,7 +68,3 @@ def test_scripts_turn_one_schema_into_the_other(a, b):
         if e.op in ("added", "renamed", "retyped"):
             made[e.new[0]] = b[e.new[0]]
     assert made == b and (cost == 0) == (a == b)
-
-
-def test_identifiers_are_distinct():
-    assert len(set(IDENTIFIER_FIELDS)) == len(IDENTIFIER_FIELDS)
