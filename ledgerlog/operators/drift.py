@@ -75,10 +75,11 @@ def file_fields(entries: DataFrame, every_kind: bool = False) -> DataFrame:
     sets = entries.where("file_id is not null").select(F.col("file_id").cast("bigint"), F.col("data").cast("binary")).mapInArrow(run, "file_id bigint, paths string, n bigint")
     sets = sets.groupBy("file_id", "paths").agg(F.sum("n").alias("n"))
     each = sets.select("file_id", "n", F.explode(F.split("paths", "\n")).alias("p")).where("p <> ''")  # an object can be empty
-    each = each.groupBy("file_id", F.substring_index("p", " ", 1).alias("kind"), F.expr("substring(p, locate(' ', p) + 1)").alias("path")).agg(F.sum("n").alias("n"))
+    kind = F.substring_index("p", " ", 1)
+    kind = kind if every_kind else F.when(kind == "large", "integer").otherwise(kind)
+    each = each.groupBy("file_id", kind.alias("kind"), F.expr("substring(p, locate(' ', p) + 1)").alias("path")).agg(F.sum("n").alias("n"))
     if every_kind:
         return each
-    each = each.withColumn("kind", F.when(F.col("kind") == "large", "integer").otherwise(F.col("kind"))).groupBy("file_id", "kind", "path").agg(F.sum("n").alias("n"))
     best = each.groupBy("file_id", "path").agg(F.max_by("kind", F.struct("n", F.expr("-ascii(kind)"))).alias("kind"), F.sum("n").alias("n"))
     return best
 

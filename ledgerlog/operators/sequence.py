@@ -106,25 +106,43 @@ def flush_segments(log: DataFrame, threshold: int, stream: Sequence[str] = ()) -
         sizes = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
         if sizes := [s for s in sizes if len(s)]:
             total = np.cumsum(np.concatenate(sizes))
-            row = [[TaskContext.get().partitionId()], [int(total[-1])], *([x] for x in _exits(total, threshold))]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3])], names=["part", "bytes", "steps", "left", "flushes"])
+            steps, left, flushes = _exits(total, threshold)
+            same = lambda x: np.full(len(steps), int(x))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (same(TaskContext.get().partitionId()), same(total[-1]), steps, left, flushes)], names=names)
 
     def follow(batches):
-        held, number = 0, 0
-        for batch in batches:
-            out = []
-            for part, size, steps, left, flushes in zip(*(c.to_pylist() for c in batch.columns)):
-                out.append((part, held, number))
+        held, number, waiting = 0, 0, []
+
+        def met() -> pa.RecordBatch:
+            """What the range meets whose steps have all come; then what it leaves over."""
+            nonlocal held, number
+            part, size, steps, left, flushes = (np.concatenate(x) for x in zip(*waiting))
+            row = [[int(part[0])], [held], [number]]
+            if size[0] < threshold - held:
+                held += int(size[0])
+            else:
                 k = int(np.searchsorted(steps, threshold - held))
-                if size < threshold - held:
-                    held += size
-                else:
-                    held, number = left[k], number + flushes[k]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3, names=["part", "held", "number"])
+                held, number = int(left[k]), number + int(flushes[k])
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in row], names=["part", "held", "number"])
 
-    functions = ranged.select("_size").mapInArrow(describe, "part bigint, bytes bigint, steps array<bigint>, left array<bigint>, flushes array<bigint>")
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            part = columns[0]
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                if waiting and waiting[0][0][0] != part[i]:
+                    yield met()
+                waiting.append([c[i:j] for c in columns])
+        if waiting:
+            yield met()
+
+    names = ["part", "bytes", "step", "left", "flushes"]
+    functions = ranged.select("_size").mapInArrow(describe, ", ".join(f"{n} bigint" for n in names))
     # one row per range: its place and two numbers
-    met = {r.part: (r.held, r.number) for r in functions.repartition(1).sortWithinPartitions("part").mapInArrow(follow, "part bigint, held bigint, number bigint").collect()}
+    met = {r.part: (r.held, r.number) for r in functions.repartition(1).sortWithinPartitions("part", "step").mapInArrow(follow, "part bigint, held bigint, number bigint").collect()}
 
     def number(batches):
         held, base, done = *met.get(TaskContext.get().partitionId(), (0, 0)), 0

@@ -165,7 +165,7 @@ def test_steps_that_lead_to_one_end_are_one():
     rng = np.random.default_rng(2)
     total = np.cumsum(rng.integers(9, 300, 200_000))
     steps, left, flushes = sequence._exits(total, 1 << 20)
-    assert len(steps) < 400  # of some seven thousand entries that could be the first to flush
+    assert len(steps) < 2000  # of some seven thousand entries that could be the first to flush
     for held in (0, 1, 77, 5000, (1 << 20) - 1, 600_000):
         cuts = sequence._chain(total, held, 1 << 20)
         k = int(np.searchsorted(steps, (1 << 20) - held))
