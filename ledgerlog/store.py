@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -142,12 +143,17 @@ class LogStore:
         written = self.spark.read.schema(SCHEMA).parquet(self.files.uri(part))
         return written.agg(*_measures()).first()
 
-    def check(self, run: Run) -> None:
-        """StoreError unless the run's files hold what its manifest says, to the checksum."""
-        row = self._measured(f"runs/{run.path}")
-        found = Run(run.path, row.low, row.high, row.n, row.bytes, row.crc if run.crc is not None else None)
-        if found != run:
-            raise StoreError(f"run {run.path} is not what was committed: {found} instead of {run}")
+    def check(self, runs: Sequence[Run]) -> None:
+        """StoreError unless the runs' files hold what the manifest says, to the checksum; one pass over all of them."""
+        if not runs:
+            return
+        source = F.regexp_extract(F.col("_metadata.file_path"), r"/runs/([^/]+)/", 1)
+        read = self.spark.read.schema(SCHEMA).parquet(*(self.files.uri(f"runs/{r.path}") for r in runs))
+        found = {r.run: Run(r.run, r.low, r.high, r.n, r.bytes, r.crc) for r in read.groupBy(source.alias("run")).agg(*_measures()).collect()}  # a row per run
+        for run in runs:
+            there = found.get(run.path)
+            if there is None or (replace(there, crc=None) if run.crc is None else there) != run:
+                raise StoreError(f"run {run.path} is not what was committed: {there} instead of {run}")
 
     def append(self, log: DataFrame, stream: str | None = None, batch: int | None = None) -> Manifest:
         """Adds a log of timestamps above the checkpoint; entries above the size limit are left out (`reads.oversize` has them).
@@ -205,8 +211,7 @@ class LogStore:
         taken = manifest.runs if force else compaction.picked(manifest.runs, self.compaction_threshold) if self.compaction_enabled else ()
         if len(taken) < 2:
             return manifest
-        for r in taken:
-            self.check(r)
+        self.check(taken)
         run = self._write_run(compaction.first_wins(self._runs(tuple(taken)), "rank"))
         gone = {r.path for r in taken}
         while True:
